@@ -10,6 +10,12 @@ from threadloom.llm.common import read
 from threadloom.llm.langid import identify
 from threadloom.llm.secrets import find_secrets
 from threadloom.llm.sharding import shard_documents
+from threadloom.llm.warc import read_warc, write_warc
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_warc(write_warc(read(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +31,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op3_secrets": op3_secrets,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages
+        ), h AS (
+            SELECT page_id, url, octet_length(payload) AS n, sha1(payload) AS sha FROM p
+        ), r AS (
+            SELECT *, row_number() OVER w AS k, max(page_id) OVER (PARTITION BY sha, n) AS best
+            FROM h WINDOW w AS (PARTITION BY sha, n ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST)
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((CAST('0x' || substr(sha, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN k = 1 THEN NULL ELSE best END AS refers_to
+        FROM r
+    """,
+}
