@@ -10,6 +10,7 @@ from threadloom.llm.common import read
 from threadloom.llm.langid import identify
 from threadloom.llm.secrets import find_secrets
 from threadloom.llm.sharding import shard_documents
+from threadloom.llm.simhash import near_duplicates
 from threadloom.llm.warc import read_warc, write_warc
 
 
@@ -26,6 +27,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op3_secrets": op3_secrets,
+    "op8_simhash": op8_simhash,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {
