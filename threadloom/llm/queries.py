@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm.common import read
 from threadloom.llm.langid import identify
+from threadloom.llm.merkle import edited_fingerprints
 from threadloom.llm.secrets import find_secrets
 from threadloom.llm.sharding import shard_documents
 from threadloom.llm.simhash import near_duplicates
@@ -31,6 +32,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_secrets": op3_secrets,
     "op8_simhash": op8_simhash,
+    "op9_merkle": op9_merkle,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {
@@ -59,4 +65,40 @@ ORACLES: dict[str, str] = {
             CASE WHEN k = 1 THEN NULL ELSE best END AS refers_to
         FROM r
     """,
+    "op9_merkle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
+        ), o AS (
+            SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nx
+            FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, sha256(text) DESC)
+        ), e AS (
+            SELECT *, substr(text, 1, n - n // 2) || substr(nx, 1, n // 2) AS edited FROM o
+        ), t AS (
+            SELECT unnest([text, edited, nx]) AS x, unnest([0, 1, 2]) AS role, doc_id, n, sha256(edited) AS edited_sha256 FROM e
+        ), l AS (
+            SELECT doc_id, n, edited_sha256, role, list_transform(regexp_extract_all(x, '(?s)(?:.*?(?:\n|[.!?] )|.+$)'), lambda p: sha256(p)[1:8]) AS leaves FROM t
+        ), m AS (
+            SELECT *, coalesce(list_aggregate(list_transform(leaves, lambda h: CASE WHEN h[8] IN ('0', '8') THEN h || chr(31) ELSE h END), 'string_agg', '.'), '') AS marked FROM l
+        ), s AS (
+            SELECT *, replace(marked, chr(31), '') AS flat,
+                coalesce(list_aggregate(list_transform(list_filter(string_split_regex(marked, chr(31) || '\.?'), lambda g: g <> ''), lambda g: sha256(g)[1:16]), 'string_agg', '.'), '') AS sections
+            FROM m
+        ), f AS (
+            SELECT doc_id, n, edited_sha256, role, list_distinct(leaves) AS leaves, sha256(sections || '|' || flat)[1:32] AS root,
+                sha256(sections || '|' || flat)[1:32] || ':' || sections || ':' || flat AS print
+            FROM s
+        ), g AS (
+            SELECT doc_id, edited_sha256, any_value(n) AS n,
+                max(print) FILTER (role = 0) AS fingerprint, max(print) FILTER (role = 1) AS edited_fingerprint,
+                max(root) FILTER (role = 0) AS r0, max(root) FILTER (role = 1) AS r1, max(root) FILTER (role = 2) AS r2,
+                any_value(leaves) FILTER (role = 0) AS l0, any_value(leaves) FILTER (role = 1) AS l1, any_value(leaves) FILTER (role = 2) AS l2
+            FROM f GROUP BY doc_id, edited_sha256
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+            CASE WHEN r0 = r1 THEN 1.0::DOUBLE WHEN len(l0) + len(l1) = 0 THEN 0.0::DOUBLE
+                ELSE 2.0::DOUBLE * len(list_intersect(l0, l1)) / (len(l0) + len(l1)) END AS near_edited,
+            CASE WHEN r0 = r2 THEN 1.0::DOUBLE WHEN len(l0) + len(l2) = 0 THEN 0.0::DOUBLE
+                ELSE 2.0::DOUBLE * len(list_intersect(l0, l2)) / (len(l0) + len(l2)) END AS near_next
+        FROM g
+    """,
 }
