@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm.common import read
+from threadloom.llm.decontaminate import find_contamination
 from threadloom.llm.langid import identify
 from threadloom.llm.merkle import edited_fingerprints
 from threadloom.llm.secrets import find_secrets
@@ -28,6 +29,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op3_secrets": op3_secrets,
+    "op5_decontamination": op5_decontamination,
     "op8_simhash": op8_simhash,
     "op9_merkle": op9_merkle,
     "op10_language": op10_language,
@@ -65,6 +72,34 @@ ORACLES: dict[str, str] = {
             CASE WHEN k = 1 THEN NULL ELSE best END AS refers_to
         FROM r
     """,
+    "op5_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), i AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE item_id IS NOT NULL
+        ), win AS (
+            SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[s : s + 12], ' ') AS k
+            FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)
+        ), lens AS (
+            SELECT DISTINCT n FROM win
+        ), occ AS (
+            SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS k
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n)
+        ), hit AS (
+            SELECT doc_id, s, occ.n, item FROM occ JOIN win ON occ.n = win.n AND occ.k = win.k
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op9_merkle": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
