@@ -10,6 +10,7 @@ from threadloom.llm.common import read
 from threadloom.llm.decontaminate import find_contamination
 from threadloom.llm.langid import identify
 from threadloom.llm.merkle import edited_fingerprints
+from threadloom.llm.pieces import round_trips
 from threadloom.llm.secrets import find_secrets
 from threadloom.llm.sharding import shard_documents
 from threadloom.llm.simhash import near_duplicates
@@ -29,6 +30,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("text_key")
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op3_secrets": op3_secrets,
+    "op4_pieces": op4_pieces,
     "op5_decontamination": op5_decontamination,
     "op8_simhash": op8_simhash,
     "op9_merkle": op9_merkle,
