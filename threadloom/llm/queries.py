@@ -14,6 +14,7 @@ from threadloom.llm.pieces import round_trips
 from threadloom.llm.secrets import find_secrets
 from threadloom.llm.sharding import shard_documents
 from threadloom.llm.simhash import near_duplicates
+from threadloom.llm.suffixes import remove_repeats
 from threadloom.llm.warc import read_warc, write_warc
 
 
@@ -39,6 +40,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_pieces": op4_pieces,
     "op5_decontamination": op5_decontamination,
+    "op7_suffixes": op7_suffixes,
     "op8_simhash": op8_simhash,
     "op9_merkle": op9_merkle,
     "op10_language": op10_language,
