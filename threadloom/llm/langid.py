@@ -153,12 +153,15 @@ def training_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str
     return out
 
 
-def identify(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(
+    docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False
+) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document, by a model fitted on rows that are not held out.
 
     per_language bounds the labelled texts taken of each language for training (documented sample bound); everything
     is predicted, from whole texts. Null texts and texts without a letter are `und` with score 0; without labelled
     rows all are `und`. Null and repeated ids are kept as rows; an empty table gives no rows; other columns are dropped.
+    With keep, docs' own columns come back with a struct _p (lang_pred, score) instead.
     """
     sample = training_rows(docs, per_language, id_col, text_col, lang_col)
     texts = [t for t, _ in sample if _LETTER.search(t)]
@@ -169,5 +172,14 @@ def identify(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", t
         for part in parts:
             yield pd.DataFrame([model.value.predict(t) for t in part], columns=["lang_pred", "score"])
 
-    named = F.pandas_udf(predict, "lang_pred string, score double")(F.col("text"))
+    predicted = F.pandas_udf(predict, "lang_pred string, score double")
+    if keep:
+        return docs.withColumn("_p", predicted(F.col(text_col)))
+    named = predicted(F.col("text"))
     return rows.withColumn("_p", named).select("doc_id", "held_out", "_p.lang_pred", "_p.score")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **kwargs) -> DataFrame:
+    """The rows whose text is in a language, with lang set to the one identified. Rows that are `und` go."""
+    named = identify(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, keep=True, **kwargs)
+    return named.where(F.col("_p.lang_pred") != UND).withColumn(lang_col, F.col("_p.lang_pred")).drop("_p")

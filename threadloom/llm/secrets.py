@@ -121,13 +121,14 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"), F.sum("n").alias("occurrences"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, keyed: bool = False) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, owned (spans whose value one owner
     alone holds), examples (spans whose value EXAMPLE_OWNERS or more owners hold).
 
     Null text is empty text; an empty table gives no rows; repeated rows each get their row; null ids are kept.
     Rows are matched by (id, text hash), so rows that share an id but not a text stay apart.
-    Without a repository column every document counts as a repository. Other columns are dropped.
+    Without a repository column every document counts as a repository. Other columns are dropped; keyed adds text_key, the
+    first half of the text's SHA-256.
     """
     scanned = scan(docs, id_col, text_col, owner_col, repo_col)
     spans = scanned.select("doc_id", "text_key", F.explode("cands").alias("c")).distinct().select("doc_id", "text_key", "c.*")
@@ -149,6 +150,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined_back = scanned.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
     return joined_back.select(
         "doc_id",
+        *(["text_key"] if keyed else []),
         "n_assign",
         "n_access",
         "n_hex",
@@ -161,3 +163,37 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _rank(kind):
     return F.array_position(F.array(*map(F.lit, KINDS)), kind)
+
+
+MASK = "[SECRET]"
+
+
+def mask(text: str, spans: list[tuple[int, int]]) -> str:
+    """text with each maximal run of overlapping or touching spans replaced by MASK."""
+    out, at = [], 0
+    for start, stop in sorted(spans):
+        if start > at or not out:
+            out += [text[at:start], MASK]
+        at = max(at, stop)
+    return "".join([*out, text[at:]])
+
+
+def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
+    """docs, all rows and columns, with owner-specific values in texts replaced by MASK; copied examples stay.
+
+    Rows find their spans by (id, text hash); texts without such values come through unchanged, nulls as nulls.
+    """
+    found = find_secrets(docs, id_col, text_col, owner_col, repo_col, keyed=True).where(F.col("owned") > 0)
+    found = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("spans").alias("_spans")).distinct()
+    key = F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32)
+    hit = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left")
+
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans in parts:
+            out = []
+            for text, named in zip(texts, spans, strict=True):
+                live = [tuple(map(int, s.split(":")[1:])) for s in named.split(",") if s.startswith("live:")] if named else []
+                out.append(mask(text, live) if live else text)
+            yield pd.Series(out, dtype=object)
+
+    return hit.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col), F.col("_spans"))).drop("_d", "_k", "_spans")

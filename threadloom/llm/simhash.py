@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.llm.common import materialize
 from threadloom.llm.components import components
@@ -35,12 +36,15 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return _WORD.findall(text.lower() if text.isascii() else text.translate(_UPPER))
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """SimHash of the XXH64 (seed 42) of word shingles, repeats included; a bit is set if it is in over half of them."""
-    if not text:
-        return 0
-    text = text.lower() if text.isascii() else text.translate(_UPPER)
-    found = _WORD.findall(text)
+    found = words_of(text)
     if not found:
         return 0
     if len(found) < words:
@@ -125,12 +129,109 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """The documents without their near-duplicates: of each component the rows with its least id stay (one of them, by
-    text, where an id repeats). Rows without an id are each other's equals only through their component.
+# Near copies at a similarity of five-word shingles.
+#
+# At a Jaccard similarity of 0.8 whole fingerprints differ in about ten bits of 64, where no partition of the bits
+# prunes. Copies that are edited here and there keep whole sections, though. So sections, cut where the content says,
+# get fingerprints of their own; a document is looked up by its SECTIONS least ones, candidates pass the Hamming check of
+# whole fingerprints, and those that pass are compared exactly. Links of DISTANCE bits found by pigeonring count as well.
+
+SECTIONS = 8
+FAR = 18
+SIMILARITY = 0.8
+_CUT = 12
+
+
+def sections(words: list[str]) -> list[int]:
+    """Hashes of content-defined sections (a section ends at a word whose hash says so, after 6 words at least), signed."""
+    out, start = [], 0
+    for i, word in enumerate(words):
+        if i - start >= 5 and xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % _CUT == 0:
+            out.append(" ".join(words[start : i + 1]))
+            start = i + 1
+    out.append(" ".join(words[start:]))
+    hashes = {xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42) for s in out if s}
+    return [h - (1 << 64) if h >> 63 else h for h in sorted(hashes)[:SECTIONS]]
+
+
+def similarity(a: str | None, b: str | None, words: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles; a text of fewer words is one shingle, one of none has none."""
+
+    def shingles(text: str | None) -> set[tuple[str, ...]]:
+        found = words_of(text)
+        return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
-    Shingles are of five words here, as in all near-duplicate stages that no contract binds.
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            fps = np.array([fingerprint(t, words) for t in part], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"fp": fps, "sections": [sections(words_of(t)) for t in part]})
+
+    sketch = F.pandas_udf(run, "fp long, sections array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), sketch(F.col(text_col)).alias("s")).select("doc_id", "key", "s.*")
+
+
+def text_key(text_col: str) -> Column:
+    return F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32)
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that share a section and pass the Hamming check.
+
+    Sections in BUCKET texts or fewer pair them all. In more crowded ones every text meets the first of the section and
+    its neighbours in the order of fingerprints, in slices of the section so that no task holds it whole; edited copies
+    share several sections, and linking goes on through what they meet.
+    """
+    held = nodes.select("key", "fp", "id", F.explode("sections").alias("section"))
+    counts = held.groupBy("section").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "fp")).alias("head")).where("n > 1")
+    held = held.join(counts, "section")
+    small = held.where(F.col("n") <= BUCKET).select("section", "key", "fp")
+    pairs = small.toDF("section", "a", "x").join(small.toDF("section", "b", "y"), "section").where("a < b").select("a", "x", "b", "y")
+    large = held.where(F.col("n") > BUCKET)
+    heads = large.select(F.col("head.key").alias("a"), F.col("head.fp").alias("x"), F.col("key").alias("b"), F.col("fp").alias("y")).where("a <> b")
+    slices = Window.partitionBy("section", F.shiftright("fp", 56)).orderBy("fp", "key")
+    beside = large.select(F.lag("key").over(slices).alias("a"), F.lag("fp").over(slices).alias("x"), F.col("key").alias("b"), F.col("fp").alias("y")).where("a is not null")
+    every = pairs.union(heads).union(beside).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FAR)
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the least id (null ids last), then text hash.
+
+    Groups are the components over equal texts, fingerprints (of `words`-word shingles) within DISTANCE bits, and texts
+    of similarity `least` or more. Null and empty texts are equal texts. Equal rows leave one. All columns are kept.
     """
-    found = near_duplicates(docs, id_col, text_col, words)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep"))).drop("_keep")
+    rows = materialize(_sketches(docs, id_col, text_col, words), "near-sketches")
+    nodes = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("sections").alias("sections"), F.min("doc_id").alias("id")), "near-nodes")
+    pairs = materialize(_candidates(nodes), "near-candidates")
+
+    needed = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    owners = needed.join(nodes.select("key", "id"), F.col("k") == F.col("key")).select("k", "id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = texts.join(owners, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("key", "text")
+    texts = materialize(texts, "near-texts")
+
+    def compare(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in parts:
+            yield pd.Series([similarity(a, b, words) for a, b in zip(x, y, strict=True)], dtype="float64")
+
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    close = both.where(F.pandas_udf(compare, "double")(F.col("x"), F.col("y")) >= least).select("a", "b")
+
+    # One graph of texts and fingerprints, told apart by a letter.
+    print_ = lambda c: F.concat(F.lit("f"), F.hex(c))
+    by_print = nodes.select(F.concat(F.lit("t"), F.col("key")).alias("a"), print_(F.col("fp")).alias("b"))
+    by_bits = links(nodes.select("fp").distinct()).select(print_(F.col("a")).alias("a"), print_(F.col("b")).alias("b"))
+    by_text = close.select(F.concat(F.lit("t"), F.col("a")).alias("a"), F.concat(F.lit("t"), F.col("b")).alias("b"))
+    reach = components(by_print.union(by_bits).union(by_text)).where(F.col("node").startswith("t"))
+    placed = nodes.join(reach, F.concat(F.lit("t"), F.col("key")) == F.col("node")).select("root", "key", "id")
+    chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("c"))
+    chosen = materialize(chosen.select(F.col("c.id").alias("_id"), F.col("c.key").alias("_key")), "near-chosen")
+    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key")), "left_semi")
+    if rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col, text_col])
