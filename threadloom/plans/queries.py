@@ -142,12 +142,12 @@ def user_links(spark, sf_dir):
 
 
 @query(
-    f"""WITH {COMMENTS}, l AS (SELECT DISTINCT link_id FROM c WHERE author = '{USER}' AND turn >= 5)
+    f"""WITH {COMMENTS}, l AS (SELECT DISTINCT link_id FROM c WHERE author = '{USER}')
     SELECT link_id, count(*) AS comments FROM c WHERE link_id IN (SELECT link_id FROM l) GROUP BY 1"""
 )
 def linked_comments(spark, sf_dir):
     every = A.comments(spark, sf_dir)
-    return threads.in_links(every, threads.user_links(every.where("turn >= 5"), _users(spark))).groupBy("link_id").agg(F.count("*").alias("comments"))
+    return threads.in_links(every, threads.user_links(every, _users(spark))).groupBy("link_id").agg(F.count("*").alias("comments"))
 
 
 @query(
@@ -281,8 +281,8 @@ def leaderboard_by_tercile(spark, sf_dir):
 
 @query(
     """WITH m AS (SELECT doc_id AS sample_id, unnest(['MODEL_A', 'MODEL_B', 'MODEL_C']) AS mask, unnest(['m0', 'm1', 'm2']) AS model FROM documents),
-    r AS (SELECT doc_id AS sample_id, unnest(['MODEL_' || chr(65 + (doc_id % 3)::INT), 'MODEL_X', 'MODEL_' || chr(65 + ((doc_id + 1) % 3)::INT)]) AS mask, unnest([0, 1, 2]) AS at FROM documents),
-    k AS (SELECT sample_id, model, row_number() OVER (PARTITION BY sample_id ORDER BY at) AS rank FROM r JOIN m USING (sample_id, mask))
+    r AS (SELECT doc_id AS sample_id, unnest(['MODEL_' || chr(65 + (doc_id % 3)::INT), 'MODEL_X', 'MODEL_' || chr(65 + ((doc_id + 1) % 3)::INT)]) AS mask, unnest([0, 1, 2]) AS spot FROM documents),
+    k AS (SELECT sample_id, model, row_number() OVER (PARTITION BY sample_id ORDER BY spot) AS rank FROM r JOIN m USING (sample_id, mask))
     SELECT m.sample_id, m.model, CAST(coalesce(rank, -1) AS INTEGER) AS rank FROM m LEFT JOIN k USING (sample_id, model)"""
 )
 def judge_unmask(spark, sf_dir):
