@@ -320,3 +320,39 @@ def token_ratios(spark, sf_dir):
 @query("SELECT 'quality' AS column, count(quality) AS present, count(quality) = 0 AS all_null FROM labels UNION ALL SELECT 'toxic', count(toxic), count(toxic) = 0 FROM labels")
 def null_audit(spark, sf_dir):
     return report.null_audit(A.table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+STUB_PROMPTS = {"inference": ("Infer.", "v1"), "intent_only": ("Intents.", "v1"), "koa_only": ("Knowledge.", "v1"), "all_in_one": ("All.", "v1")}
+
+
+def stub_answer(model: str, text: str) -> str:
+    """Answers of a stand-in model: outputs of tasks, verdicts for judges; every seventh length fails."""
+    if "OUTPUTS:" in text:
+        return '<result>{"ranking": ["MODEL_B", "MODEL_A"], "rationale": "MODEL_B reads better", "correct_models": ["MODEL_B"]}</result>'
+    if len(text) % 7 == 0:
+        raise ValueError("refused")
+    if text.startswith("Infer."):
+        return f'<result>{{"inference_output": "{len(text)}"}}</result>'
+    return f'thinking <result>{{"intents": ["{model}"], "koa": ["{len(text)}",]}}</result>'
+
+
+@query()
+def workflow_stub(spark, sf_dir):
+    """All conversations' contexts through a two-stage workflow of two models and a ranking judge, with a stub client."""
+    from threadloom.plans import judging, workflow
+    from threadloom.sources.clients import StubClient
+
+    built = threads.contexts(A.comments(spark, sf_dir), A.submissions(spark, sf_dir), _users(spark))
+    samples = built.select(F.col("submission_id").cast("long").alias("sample_id"), "formatted_context")
+    catalogue = workflow.Catalogue(STUB_PROMPTS, formatters=workflow.FORMATTERS)
+    stages, client = workflow.WORKFLOWS["inference_with_intent"], StubClient(stub_answer)
+    results = workflow.run_workflow(samples, ["m1", "m2"], stages, catalogue, client)
+    inputs = workflow.judge_inputs(results, stages)
+    return judging.judge_rankings(samples, inputs, client, "judge", "Rank by the intents.", 7).select("sample_id", "model", "rank", "correct", "judge_status")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, CAST(user_id AS VARCHAR) AS author, count(*) AS count FROM events GROUP BY 1, 2")
+def hourly_activity(spark, sf_dir):
+    from threadloom.streaming.activity import windowed_counts
+
+    return windowed_counts(A.activity(spark, sf_dir))
