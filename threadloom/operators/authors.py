@@ -27,17 +27,20 @@ def budget_prefix(
 ) -> DataFrame:
     """Each author's longest prefix, in `order`, whose running token sum stays within the budget.
 
-    Rows without a token count drop out first, as a running sum would carry on over them. A row that is over the budget
-    within a slice of its author's rows is over it among all of them, so slices are trimmed first; an author with a
-    third of all rows is spread over `slices` tasks, and what meets in one task is `slices` budgets at most.
+    Rows without a token count drop out first, as a running sum would carry on over them. Token counts are not negative.
+
+    An author's rows are first trimmed in `slices` slices: to what lies within the budget there and the first row that
+    goes beyond it, which carries the excess on into the sum over all slices. So an author with a third of all rows is
+    spread over many tasks, and what meets in one task is `slices` budgets and rows at most.
     """
     known = rows.where(F.col(tokens).isNotNull()).withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
 
-    def trimmed(df: DataFrame, *keys: str) -> DataFrame:
+    def running(df: DataFrame, *keys: str) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn("running_tokens", F.sum(tokens).over(window)).where(F.col("running_tokens") <= budget)
+        return df.withColumn("running_tokens", F.sum(tokens).over(window))
 
-    return trimmed(trimmed(known, author, "_slice").drop("running_tokens"), author).drop("_slice")
+    trimmed = running(known, author, "_slice").where(F.col("running_tokens") - F.col(tokens) <= budget)
+    return running(trimmed.drop("running_tokens", "_slice"), author).where(F.col("running_tokens") <= budget)
 
 
 def texts(rows: DataFrame, line: Column, order: list[str], author: str = "author", separator: str = "\n") -> DataFrame:
