@@ -129,8 +129,12 @@ class Run:
         return Run(*(c[rows] for c in self.columns))
 
     def sorted(self) -> Run:
+        """By tokens, document and offset; a row that comes twice (a string around two crowded suffixes) stays once."""
         token, around, order, off, *_ = self.columns
-        return self.take(np.lexsort((off, order, around, token)))
+        by = np.lexsort((off, order, around, token))
+        fresh = np.ones(len(by), dtype=bool)
+        fresh[1:] = np.any([c[by][1:] != c[by][:-1] for c in (token, around, order, off)], axis=0)
+        return self.take(by[fresh])
 
     def pack(self) -> bytes:
         token, around, order, off, before, after = self.columns
