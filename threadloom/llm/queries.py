@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadloom.llm.common import read
 from threadloom.llm.decontaminate import find_contamination
 from threadloom.llm.langid import identify
+from threadloom.llm.licenses import scan_licenses
 from threadloom.llm.merkle import edited_fingerprints
 from threadloom.llm.pieces import round_trips
 from threadloom.llm.secrets import find_secrets
@@ -40,6 +42,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(read(spark, sf_dir, "documents"))
+    named = F.transform("matches", lambda m: F.concat_ws(":", m["name"], m["start"], m["end"], F.round(m["coverage"], 3)))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(named, ",").alias("matches"))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).drop("starts", "ends")
 
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_pieces": op4_pieces,
     "op5_decontamination": op5_decontamination,
+    "op6_licenses": op6_licenses,
     "op7_suffixes": op7_suffixes,
     "op8_simhash": op8_simhash,
     "op9_merkle": op9_merkle,
