@@ -14,7 +14,7 @@ from threadloom.llm.licenses import scan_licenses
 from threadloom.llm.merkle import edited_fingerprints
 from threadloom.llm.pieces import round_trips
 from threadloom.llm.secrets import find_secrets
-from threadloom.llm.sharding import shard_documents
+from threadloom.llm.sharding import ROUNDS, round_keys, shard_documents
 from threadloom.llm.simhash import near_duplicates
 from threadloom.llm.suffixes import remove_repeats
 from threadloom.llm.warc import read_warc, write_warc
@@ -26,7 +26,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(read(spark, sf_dir, "documents"))
+    return shard_documents(read(spark, sf_dir, "documents"), 24, SEED)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_merkle": op9_merkle,
     "op10_language": op10_language,
 }
+SEED = 20240601
+
 ORACLES: dict[str, str] = {
+    "op2_sharding": f"""
+        WITH RECURSIVE t AS (
+            SELECT list(c ORDER BY i) AS tbl FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+                FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+            )
+        ), d AS (
+            SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS rn FROM documents
+        ), p AS (
+            SELECT doc_id, rn, CAST(octet_length(encode(text)) AS BIGINT) AS bytes,
+                flatten(list_transform(list_transform(regexp_extract_all(text, '(?s).'), lambda x: CAST(ord(x) AS BIGINT)), lambda u:
+                    CASE WHEN u < 128 THEN [u] WHEN u < 2048 THEN [192 | (u >> 6), 128 | (u & 63)]
+                    WHEN u < 65536 THEN [224 | (u >> 12), 128 | ((u >> 6) & 63), 128 | (u & 63)]
+                    ELSE [240 | (u >> 18), 128 | ((u >> 12) & 63), 128 | ((u >> 6) & 63), 128 | (u & 63)] END)) AS b
+            FROM d
+        ), crc AS (
+            SELECT doc_id, rn, bytes, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tbl[1 + (xor(c, x) & 255)])), 4294967295) AS crc FROM p, t
+        ), n AS (
+            SELECT count(*) AS total, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS side FROM documents
+        ), walk AS (
+            SELECT rn, rn // side AS l, rn % side AS r, 0 AS k, total, side FROM d, n
+            UNION ALL
+            SELECT rn, r AS l, (l + xor(h, h >> 13) % side) % side AS r, k + 1 AS k, total, side FROM (
+                SELECT *, (xor(g, g >> 15) * 668265261) & 2147483647 AS h FROM (
+                    SELECT *, (((r + {round_keys(SEED)}[1 + k % {ROUNDS}]) & 2147483647) * 73244475) & 2147483647 AS g FROM walk
+                    WHERE NOT (k > 0 AND k % {ROUNDS} = 0 AND l * side + r < total)
+                )
+            )
+        ), spots AS (
+            SELECT rn, l * side + r AS spot FROM walk WHERE k > 0 AND k % {ROUNDS} = 0 AND l * side + r < total
+        )
+        SELECT doc_id, bytes + 8 AS size, crc AS text_crc32, 'rows' AS law, CAST(spot % 24 AS INTEGER) AS shard, spot // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM crc JOIN spots USING (rn)
+    """,
     "op1_warc": """
         WITH p AS (
             SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages
