@@ -104,8 +104,8 @@ def sample_targets(rows: DataFrame, order: list[str], window: int, users: int, a
 
 
 def seeded_sample(rows: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
-    """n rows by the least seeded hashes of their key: the same for any partitioning; fewer rows are all taken."""
-    return rows.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """n rows by the least MD5 of seed and key: the same for any partitioning and engine; fewer rows are all taken."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in key))), *key).limit(n)
 
 
 def last_row(rows: DataFrame, order: str) -> DataFrame:

@@ -131,7 +131,7 @@ def sample_users(spark, sf_dir):
     return authors.sample_targets(A.comments(spark, sf_dir), ["created_utc", "id"], 1000, 2)
 
 
-@query()
+@query("SELECT doc_id AS id, source AS author FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 100")
 def seeded_sample(spark, sf_dir):
     return authors.seeded_sample(A.authored(spark, sf_dir), ["id"], 100, 7).select("id", "author")
 
