@@ -1,7 +1,7 @@
 """Document fingerprints: Merkle trees over paragraphs and sections, in DataFrame functions alone.
 
-A text is cut into paragraphs (after newlines and after sentence ends), so its leaves follow its content; a section
-ends after a paragraph whose own hash falls into one of eight classes, or at the end. Leaf, section and root hashes
+A text is cut into paragraphs (after newlines and after sentence ends, and longer ones after every PIECE characters),
+so its leaves follow its content and an edit moves the leaves of its own paragraph at most; a section ends after a paragraph whose own hash falls into one of eight classes, or at the end. Leaf, section and root hashes
 are SHA-256, the section's over its leaves and the root's over its sections. The fingerprint is
 `root:section.section...:leaf.leaf...` with shortened hashes, so roots test equality, and where roots differ, sections
 and then leaves that the other tree lacks locate the edits.
@@ -17,6 +17,7 @@ from threadloom.llm.common import materialize, partitions
 from threadloom.llm.ranges import range_of, splitters
 
 ROOT, BRANCH, LEAF = 32, 16, 8
+PIECE = 32
 #: After a newline, or after a sentence's end and the white space behind it.
 BREAK = r"(?<=\n)|(?<=[.!?]\x20)"
 _OPEN = "\x1f"
@@ -24,7 +25,8 @@ _OPEN = "\x1f"
 
 def paragraphs(text: Column) -> Column:
     """The pieces of a text, in order; together they are the text."""
-    return F.filter(F.split(text, BREAK), lambda p: p != "")
+    pieces = F.lit(f"(?s).{{1,{PIECE}}}")
+    return F.flatten(F.transform(F.split(text, BREAK), lambda p: F.regexp_extract_all(p, pieces, F.lit(0))))
 
 
 def fingerprint(text: Column) -> Column:

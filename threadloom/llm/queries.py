@@ -168,7 +168,7 @@ ORACLES: dict[str, str] = {
         ), t AS (
             SELECT unnest([text, edited, nx]) AS x, unnest([0, 1, 2]) AS role, doc_id, n, sha256(edited) AS edited_sha256 FROM e
         ), l AS (
-            SELECT doc_id, n, edited_sha256, role, list_transform(regexp_extract_all(x, '(?s)(?:.*?(?:\n|[.!?] )|.+$)'), lambda p: sha256(p)[1:8]) AS leaves FROM t
+            SELECT doc_id, n, edited_sha256, role, list_transform(flatten(list_transform(regexp_extract_all(x, '(?s)(?:.*?(?:\n|[.!?] )|.+$)'), lambda q: regexp_extract_all(q, '(?s).{1,32}'))), lambda p: sha256(p)[1:8]) AS leaves FROM t
         ), m AS (
             SELECT *, coalesce(list_aggregate(list_transform(leaves, lambda h: CASE WHEN h[8] IN ('0', '8') THEN h || chr(31) ELSE h END), 'string_agg', '.'), '') AS marked FROM l
         ), s AS (
