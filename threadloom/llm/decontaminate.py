@@ -18,8 +18,8 @@ from threadloom.llm.common import lower_ascii, materialize
 
 WINDOW = 13
 SHINGLE = 5
-#: Rows of windows that one broadcast holds (about 250 bytes each); a larger benchmark is joined block after block.
-BLOCK = 100_000
+#: Tokens that one broadcast holds (16 bytes each); a larger benchmark is joined block after block.
+BLOCK = 1_000_000
 
 # After A-Z have become small, the characters of words: digits, a-z and all beyond ASCII.
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]++)"
@@ -95,37 +95,33 @@ def find_contamination(
         return _report(none.withColumn("spans", F.array().cast("array<struct<a:int,b:int>>")).withColumn("items", F.array().cast("array<string>")))
     tokens = materialize(reduce(DataFrame.unionAll, tokens), "decon-tokens")
 
-    # How often the corpus holds each benchmark token: only tokens of the benchmark are counted, over all documents.
-    vocabulary = tokens.select("token", "n").distinct()
-    held = materialize(vocabulary, "decon-vocabulary")
+    # One pass over the texts: every place that holds a token of the benchmark, with the words around it that any window
+    # through that token could take up.
+    held = materialize(tokens.select("token", "n").distinct(), "decon-vocabulary")
     size = held.count()
-    hashed = _hashed(own, "doc_id", "text_key").select("hashes")
+    context = _hashed(own, "doc_id", "text_key", "words")
     found = []
     for n in lengths:
-        for block in _parts(held.where(F.col("n") == n).select(F.col("token").alias("t")).withColumn("token", F.col("t")), size):
-            found.append(_shingles(hashed, n).join(F.broadcast(block.select("t")), F.col("token") == F.col("t")).groupBy("token").agg(F.count("*").alias("often")))
-    counts = materialize(reduce(DataFrame.unionAll, found), "decon-counts")
+        for block in _parts(held.where(F.col("n") == n), size):
+            at = _shingles(context, n, "doc_id", "text_key", "words").join(F.broadcast(block.select(F.col("token").alias("t"))), F.col("token") == F.col("t"))
+            first = F.greatest(F.col("at") - (window - 1), F.lit(0))
+            found.append(at.select("doc_id", "text_key", "at", "token", first.alias("first"), F.slice("words", first + 1, 2 * window - 1).alias("around")))
+    places = materialize(reduce(DataFrame.unionAll, found), "decon-places")
 
     # The prefix: of each window its rarest token; windows with a token that no document holds drop out.
+    counts = places.groupBy("token").agg(F.count("*").alias("often"))
     rare = tokens.join(counts, "token")
     complete = rare.groupBy("win").agg(
         F.min(F.struct("often", "token", "at")).alias("p"), F.count("*").alias("k"), F.first("items").alias("items"), F.first("len").alias("len"), F.first("n").alias("n")
     )
     anchors = complete.where(F.col("k") == F.col("len") - F.col("n") + 1)
-    anchors = materialize(anchors.select(F.col("p.token").alias("token"), F.col("p.at").alias("off"), "win", "items", "len", "n"), "decon-anchors")
-    rows = anchors.count()
+    anchors = materialize(anchors.select(F.col("p.token").alias("token"), F.col("p.at").alias("off"), "win", "items", "len"), "decon-anchors")
 
-    hits = []
-    context = _hashed(own, "doc_id", "text_key")
-    for n in lengths:
-        for block in _parts(anchors.where(F.col("n") == n), rows):
-            probe = block.select(F.col("token").alias("t"), "off", "win", "items", "len")
-            at = _shingles(context, n, "doc_id", "text_key", "words").join(F.broadcast(probe), F.col("token") == F.col("t"))
-            start = F.col("at") - F.col("off")
-            inside = (start >= 0) & (start + F.col("len") <= F.size("words"))
-            same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")
-            hits.append(at.where(inside & same).select("doc_id", "text_key", start.alias("a"), (start + F.col("len")).alias("b"), "items"))
-    hit = reduce(DataFrame.unionAll, hits).groupBy("doc_id", "text_key").agg(
+    start = F.col("at") - F.col("off")
+    same = F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("len")) == F.col("win")
+    hits = places.join(anchors, "token").where((start >= 0) & same)
+    hits = hits.select("doc_id", "text_key", start.alias("a"), (start + F.col("len")).alias("b"), "items")
+    hit = hits.groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
     hit = materialize(hit, "decon-hits").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "spans", "items")
