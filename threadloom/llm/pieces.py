@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of new segments that one suffix array indexes, and segments that a worker remembers between batches.
-INDEX_CHARS = 1 << 20
-REMEMBERED = 400_000
+INDEX_CHARS = 1 << 18
+REMEMBERED = 150_000
+#: Characters of whole texts that are encoded together.
+TEXT_CHARS = 1 << 19
 _SEGMENT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
@@ -111,7 +114,8 @@ class Encoder:
         self.bits = bits
         self.low, self.high = self._piece_keys()
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.pair_keys, self.pair_agrees = np.array([np.iinfo(np.int64).max]), np.zeros(1, dtype=bool)
+        self.known: dict[str, array] = {}
         self.unknown = len(vocabulary.pieces)  # stands for a character without a piece; never merges
         self.lengths[self.unknown] = 1
 
@@ -165,20 +169,23 @@ class Encoder:
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, piece id) of every occurrence of every piece, by way of the suffix array."""
         words = self._words(codes)
-        suffixes = np.lexsort(words[::-1])
+        suffixes = np.lexsort(words[::-1]).astype(np.int32)
         keys = [w[suffixes] for w in words]
+        del words
         first, last = self._search(keys, self.low, False), self._search(keys, self.high, True)
         many = last - first
-        offset = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        return suffixes[offset], np.repeat(self.ids, many)
+        offset = np.repeat((first - np.concatenate([[0], np.cumsum(many)[:-1]])).astype(np.int32), many) + np.arange(many.sum(), dtype=np.int32)
+        return suffixes[offset], np.repeat(self.ids.astype(np.int32), many)
 
     def _agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each pair of neighbouring pieces is what their joined text encodes to; -1 on the left is the start."""
         key = left * (self.unknown + 1) + right
         different, back = np.unique(key, return_inverse=True)
-        verdict = np.zeros(len(different), dtype=bool)
+        at = np.minimum(np.searchsorted(self.pair_keys, different), len(self.pair_keys) - 1)
+        verdict, settled = self.pair_agrees[at], self.pair_keys[at] == different
         pairs, pieces, unknown = self.pairs, self.v.pieces, self.unknown
-        for n, k in enumerate(different.tolist()):
+        for n in np.flatnonzero(~settled).tolist():
+            k = int(different[n])
             known = pairs.get(k)
             if known is None:
                 a, b = divmod(k, unknown + 1)
@@ -191,37 +198,46 @@ class Encoder:
             verdict[n] = known
         return verdict[back]
 
+    def _settle_pairs(self) -> None:
+        """Move what was learnt about pairs into sorted arrays, where many are looked up at once."""
+        keys = np.concatenate([self.pair_keys, np.fromiter(self.pairs.keys(), dtype=np.int64, count=len(self.pairs))])
+        agrees = np.concatenate([self.pair_agrees, np.fromiter(self.pairs.values(), dtype=bool, count=len(self.pairs))])
+        order = np.argsort(keys, kind="stable")
+        self.pair_keys, self.pair_agrees = keys[order], agrees[order]
+        self.pairs.clear()
+
     def _index(self, segments: list[str]) -> None:
         """Encode new segments together and remember them."""
         sizes = np.array([len(s) for s in segments], dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        parts = [np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) for s in segments]
-        points = np.zeros(int(sizes.sum()) + len(segments), dtype=np.uint32)
+        points = np.frombuffer("\0".join([*segments, ""]).encode("utf-32-le"), dtype=np.uint32)
         inside = np.ones(len(points), dtype=bool)
         inside[starts + sizes] = False
-        points[inside] = np.concatenate(parts) if parts else []
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
         codes = np.where(inside, np.where(self.alphabet[at] == points, at + 2, 1), 0).astype(np.int64)
 
         begin, piece = self.edges(codes)
-        lone = np.flatnonzero(codes == 1)
-        begin, piece = np.concatenate([begin, lone]), np.concatenate([piece, np.full(len(lone), self.unknown, dtype=np.int64)])
-        end = begin + self.lengths[piece]
-        base = starts[np.searchsorted(starts, begin, side="right") - 1]
-        depth = end - base
-        order = np.argsort(depth, kind="stable")
-        begin, end, piece, base, depth = begin[order], end[order], piece[order], base[order], depth[order]
-        last = np.full(len(points) + 1, -1, dtype=np.int64)
+        lone = np.flatnonzero(codes == 1).astype(np.int32)
+        begin, piece = np.concatenate([begin, lone]), np.concatenate([piece, np.full(len(lone), self.unknown, dtype=np.int32)])
+        base = np.zeros(len(points), dtype=np.int32)
+        base[starts[1:]] = np.diff(starts)
+        base = np.cumsum(base, dtype=np.int32)  # where the segment of each place starts
+        depth = begin + self.lengths[piece].astype(np.int32) - base[begin]
+        order = np.argsort(depth, kind="stable").astype(np.int32)
+        begin, piece, depth = begin[order], piece[order], depth[order]
+        last = np.full(len(points) + 1, -1, dtype=np.int32)
         cuts = np.flatnonzero(np.diff(depth)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(depth)], strict=True):
             if a == b:
                 continue
-            before = np.where(begin[a:b] == base[a:b], -1, last[begin[a:b]])
-            fits = self._agree(before, piece[a:b])
-            last[end[a:b][fits]] = piece[a:b][fits]
+            at, through = begin[a:b], piece[a:b]
+            before = np.where(at == base[at], -1, last[at])
+            fits = self._agree(before.astype(np.int64), through.astype(np.int64))
+            last[at[fits] + self.lengths[through[fits]]] = through[fits]
+        self._settle_pairs()
         tail, length = last.tolist(), self.lengths.tolist()
         for s, start, size in zip(segments, starts.tolist(), sizes.tolist(), strict=True):
-            out, q = [], start + size
+            out, q = array("i"), start + size
             while q > start:
                 t = tail[q]
                 if t == self.unknown:
@@ -232,19 +248,19 @@ class Encoder:
             out.reverse()
             self.known[s] = out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[array]:
         """Piece ids of each whole text; null and empty texts have none."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if len(self.pairs) > 4 * REMEMBERED:
-            self.pairs.clear()
+        if len(self.pair_keys) > 12 * REMEMBERED:
+            self.pair_keys, self.pair_agrees = self.pair_keys[-1:], self.pair_agrees[-1:]
         out = []
         cut = [_SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         fresh: dict[str, None] = {}
         room = INDEX_CHARS
         for segments in cut:
-            for s in segments:
-                if s not in self.known and s not in fresh:
+            for s in set(segments).difference(self.known):
+                if s not in fresh:
                     fresh[s] = None
                     room -= len(s) + 1
             if room <= 0:
@@ -254,7 +270,7 @@ class Encoder:
             self._index(list(fresh))
         known = self.known
         for segments in cut:
-            ids: list[int] = []
+            ids = array("i")
             for s in segments:
                 ids += known[s]
             out.append(ids)
@@ -278,8 +294,22 @@ def decode(vocabulary: Vocabulary, ids) -> str:
     return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
-def encoded(docs: DataFrame, text: Column, model: str = MODEL) -> Column:
-    """Column array<int>: the piece ids of a text column. The vocabulary (bounded by the model file) is broadcast."""
+def _batches(part: pa.Array) -> Iterator[list[str | None]]:
+    held, size = [], 0
+    for text in part:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= TEXT_CHARS:
+            yield held
+            held, size = [], 0
+    yield held
+
+
+def encoded(docs: DataFrame, text: Column, model: str = MODEL, back: bool = False) -> Column:
+    """Column array<int>: the piece ids of a text column. The vocabulary (bounded by the model file) is broadcast.
+
+    With back, a struct of ids and back, the text that they decode to, from the same worker.
+    """
     loaded = load(model)
     name = hashlib.sha256(repr((loaded.pieces, loaded.scores)).encode()).hexdigest()
     vocabulary = docs.sparkSession.sparkContext.broadcast(loaded)
@@ -287,14 +317,19 @@ def encoded(docs: DataFrame, text: Column, model: str = MODEL) -> Column:
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_for(name, vocabulary.value)
         for part in parts:
-            ids = []
-            for at in range(0, len(part), 512):
-                ids += [np.array(x, dtype=np.int32) for x in encoder.encode(part.slice(at, 512).to_pylist())]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, dtype=np.int32), *ids]))
+            blobs, sizes, texts = [], [0], []
+            for held in _batches(part):
+                coded = encoder.encode(held)
+                sizes += map(len, coded)
+                blobs.append(b"".join(coded))
+                if back:
+                    texts.append(pa.array([decode(encoder.v, ids) for ids in coded], type=pa.string()))
+            ids = pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int64).astype(np.int32), np.frombuffer(b"".join(blobs), dtype=np.int32))
+            yield pa.StructArray.from_arrays([ids, pa.concat_arrays(texts)], names=["ids", "back"]) if back else ids
+        encoder.known.clear()
 
     run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<int>")(text)
+    return F.arrow_udf(run, "ids array<int>, back string" if back else "array<int>")(text)
 
 
 def decoded(docs: DataFrame, ids: Column, model: str = MODEL) -> Column:
@@ -309,21 +344,21 @@ def decoded(docs: DataFrame, ids: Column, model: str = MODEL) -> Column:
     return F.arrow_udf(run, "string")(ids)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """doc_id, text, ids (array of piece ids) for every row: a narrow pass over whole texts.
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, back: bool = False) -> DataFrame:
+    """doc_id, text, ids (array of piece ids) for every row: a narrow pass over whole texts. back adds the decoded text.
 
     Null and empty texts have no ids; a text's own U+2581 counts as a space. Null and repeated ids are ordinary rows;
     an empty table gives no rows; other columns are dropped.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if back:
+        return rows.withColumn("_c", encoded(docs, F.col("text"), model, True)).select("doc_id", "text", "_c.ids", "_c.back")
     return rows.withColumn("ids", encoded(docs, F.col("text"), model))
 
 
 def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids, comma-joined), decoded_sha256, exact (decoding gives the text back)."""
-    coded = encode_documents(docs, id_col, text_col, model)
-    back = coded.withColumn("back", decoded(docs, F.col("ids"), model))
-    return back.select(
+    return encode_documents(docs, id_col, text_col, model, back=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
