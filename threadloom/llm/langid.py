@@ -173,8 +173,8 @@ def identify(
             yield pd.DataFrame([model.value.predict(t) for t in part], columns=["lang_pred", "score"])
 
     predicted = F.pandas_udf(predict, "lang_pred string, score double")
-    if keep:
-        return docs.withColumn("_p", predicted(F.col(text_col)))
+    if keep:  # as nondeterministic, so that a filter on the result does not predict a second time
+        return docs.withColumn("_p", predicted.asNondeterministic()(F.col(text_col)))
     named = predicted(F.col("text"))
     return rows.withColumn("_p", named).select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
