@@ -327,6 +327,22 @@ def test_kept_documents(spark):
     assert simhash.keep_first(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def brute_kept(rows, least=0.8):
+    root = brute_components(range(len(rows)), lambda a, b: simhash.similarity(rows[a][1], rows[b][1]) >= least)
+    return {min(rows[i][0] for i in root if root[i] == r) for r in set(root.values())}
+
+
+def test_kept_with_other_repeat_counts(spark):
+    rng = random.Random(9)
+    rows = []
+    for g in range(10):
+        head, line = words(rng, 150, 5000), words(rng, 25, 5000)
+        rows += [(2 * g, " ".join([head] + [line] * 40)), (2 * g + 1, f"{head} {line}")]
+    far = [(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True)]
+    assert max(far) > 18
+    assert {r.doc_id for r in simhash.keep_first(docs_of(spark, rows)).collect()} == brute_kept(rows) == set(range(0, 20, 2))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5, 5), (301, 300), (300, 301)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -133,11 +133,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #
 # At a Jaccard similarity of 0.8 whole fingerprints differ in about ten bits of 64, where no partition of the bits
 # prunes. Copies that are edited here and there keep whole sections, though. So sections, cut where the content says,
-# get fingerprints of their own; a document is looked up by its SECTIONS least ones, candidates pass the Hamming check of
-# whole fingerprints, and those that pass are compared exactly. Links of DISTANCE bits found by pigeonring count as well.
+# get fingerprints of their own; a document is looked up by its SECTIONS least ones, and candidates are compared exactly.
+# Links of DISTANCE bits found by pigeonring count as well.
 
 SECTIONS = 8
-FAR = 18
 SIMILARITY = 0.8
 _CUT = 12
 
@@ -180,7 +179,7 @@ def text_key(text_col: str) -> Column:
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts that share a section and pass the Hamming check.
+    """Pairs (a, b) of texts that share a section.
 
     Sections in BUCKET texts or fewer pair them all. In more crowded ones every text meets the first of the section and
     its neighbours in the order of fingerprints, in slices of the section so that no task holds it whole; edited copies
@@ -195,7 +194,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     heads = large.select(F.col("head.key").alias("a"), F.col("head.fp").alias("x"), F.col("key").alias("b"), F.col("fp").alias("y")).where("a <> b")
     slices = Window.partitionBy("section", F.shiftright("fp", 56)).orderBy("fp", "key")
     beside = large.select(F.lag("key").over(slices).alias("a"), F.lag("fp").over(slices).alias("x"), F.col("key").alias("b"), F.col("fp").alias("y")).where("a is not null")
-    every = pairs.union(heads).union(beside).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FAR)
+    every = pairs.union(heads).union(beside)
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
