@@ -343,6 +343,39 @@ def test_kept_with_other_repeat_counts(spark):
     assert {r.doc_id for r in simhash.keep_first(docs_of(spark, rows)).collect()} == brute_kept(rows) == set(range(0, 20, 2))
 
 
+def test_kept_of_crowded_copies(spark):
+    rng = random.Random(10)
+    original = words(rng, 300, 100_000).split()
+    rows = [(900, " ".join(original))]
+    for i in range(120):
+        copy = list(original)
+        for at in rng.sample(range(300), 5):
+            copy[at] = f"own{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    # Of one template, and near no other: crowded shingles that link nobody.
+    shared = words(rng, 80, 100_000)
+    rows += [(1000 + i, f"{shared} {words(rng, 16, 100_000)}") for i in range(30)]
+    likeness = [simhash.similarity(a, b) for (_, a), (_, b) in itertools.combinations(rows[1:40], 2)]
+    assert np.median(likeness) < 0.8
+    kept = {r.doc_id for r in simhash.keep_first(docs_of(spark, rows)).collect()}
+    assert kept == brute_kept(rows)
+
+
+def test_kept_of_chained_crowds(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 1)
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):  # each text is near the next ones only, and no text is near them all
+        text = words(rng, 200, 100_000).split()
+        for i in range(20):
+            rows.append((g * 100 + rng.randrange(10**6) * 1000, " ".join(text)))
+            text[rng.randrange(200)] = f"own{rng.random()}"
+            if i == 10:
+                for at in range(0, 200, 17):
+                    text[at] = f"own{rng.random()}"
+    assert {r.doc_id for r in simhash.keep_first(docs_of(spark, rows)).collect()} == brute_kept(rows)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5, 5), (301, 300), (300, 301)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -12,6 +12,7 @@ both), which takes 65 rows a member and no pairs.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,7 +21,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.llm.common import materialize
 from threadloom.llm.components import components
@@ -42,17 +42,20 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower() if text.isascii() else text.translate(_UPPER))
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """SimHash of the XXH64 (seed 42) of word shingles, repeats included; a bit is set if it is in over half of them."""
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included; a text of fewer words is one shingle, one of none has none."""
     found = words_of(text)
     if not found:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     if len(found) < words:
         shingles = [" ".join(found)]
     else:
         shingles = list(map(" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s.encode("utf-8", "surrogatepass"), 42) for s in shingles), dtype="<u8", count=len(shingles))
+    return np.fromiter((digest(s.encode("utf-8", "surrogatepass"), 42) for s in shingles), dtype="<u8", count=len(shingles))
+
+
+def _majority(hashes: np.ndarray) -> int:
     set_bits = np.zeros(64, dtype=np.int64)
     for block in range(0, len(hashes), 1 << 16):
         part = hashes[block : block + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -61,6 +64,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """SimHash of the XXH64 (seed 42) of word shingles, repeats included; a bit is set if it is in over half of them."""
+    return _majority(shingle_hashes(text, words))
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row, null and empty texts included."""
 
@@ -132,25 +140,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # Near copies at a similarity of five-word shingles.
 #
 # At a Jaccard similarity of 0.8 whole fingerprints differ in about ten bits of 64, where no partition of the bits
-# prunes. Copies that are edited here and there keep whole sections, though. So sections, cut where the content says,
-# get fingerprints of their own; a document is looked up by its SECTIONS least ones, and candidates are compared exactly.
+# prunes. So candidates come from a prefix filter, which loses none: put the shingles of every text in one order, then two
+# texts at the threshold or above share one of the first n - ceil(threshold * n) + 1 of each. The bounds that follow from
+# both sizes and from the places of the first shared shingle hold for every such pair, too; what passes them is compared
+# exactly. Any order is right. Ours has shingles that are common in a sample of texts last, as they pair up the most.
 # Links of DISTANCE bits found by pigeonring count as well.
 
-SECTIONS = 8
 SIMILARITY = 0.8
-_CUT = 12
+SAMPLE = 16  # one text of so many, by hash, tells which shingles are common
+COMMON = 1 << 18
+_EPS = 1e-9
 
 
-def sections(words: list[str]) -> list[int]:
-    """Hashes of content-defined sections (a section ends at a word whose hash says so, after 6 words at least), signed."""
-    out, start = [], 0
-    for i, word in enumerate(words):
-        if i - start >= 5 and xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % _CUT == 0:
-            out.append(" ".join(words[start : i + 1]))
-            start = i + 1
-    out.append(" ".join(words[start:]))
-    hashes = {xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42) for s in out if s}
-    return [h - (1 << 64) if h >> 63 else h for h in sorted(hashes)[:SECTIONS]]
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY) -> tuple[str, int, np.ndarray]:
+    """Of a text's shingle hashes: digest and size of their set, and its prefix for the threshold, in order.
+
+    common has sorted hashes and their ranks; hashes that are not among them come first, by value.
+    """
+    found = np.unique(hashes)
+    digest = xxhash.xxh3_128_hexdigest(found.astype("<u8").tobytes())
+    if not len(found):
+        return digest, 0, found.view(np.int64)
+    keep = len(found) - math.ceil(least * len(found) - _EPS) + 1
+    values, ranks = common
+    if len(values):
+        at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+        known = values[at] == found
+        late = found[known][np.argsort(ranks[at[known]])]
+        found_in_order = np.concatenate([found[~known], late])
+    else:
+        found_in_order = found
+    return digest, len(found), found_in_order[: min(keep, len(found))].view(np.int64)
 
 
 def similarity(a: str | None, b: str | None, words: int = 5) -> float:
@@ -164,13 +184,34 @@ def similarity(a: str | None, b: str | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _common(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the COMMON most frequent shingles of a sample of texts, sorted, and their ranks, the rarest first."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            fps = np.array([fingerprint(t, words) for t in part], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"fp": fps, "sections": [sections(words_of(t)) for t in part]})
+            yield pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in part])
+
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(F.col(text_col).alias("text")).distinct()
+    counts = some.select(F.explode(F.pandas_udf(run, "array<long>")("text")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    found = counts.where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], len(found) - order
+
 
-    sketch = F.pandas_udf(run, "fp long, sections array<long>")
+def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, words))
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for text in part:
+                hashes = shingle_hashes(text, words)
+                rows.append((_majority(hashes), *prefix(hashes, common.value, least)))
+            out = pd.DataFrame(rows, columns=["fp", "set", "n", "prefix"])
+            out["fp"] = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
+            yield out
+
+    sketch = F.pandas_udf(run, "fp long, set string, n int, prefix array<long>")
     return docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), sketch(F.col(text_col)).alias("s")).select("doc_id", "key", "s.*")
 
 
@@ -178,56 +219,104 @@ def text_key(text_col: str) -> Column:
     return F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32)
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts that share a section.
+def _shared(sets: DataFrame) -> DataFrame:
+    """The prefixes' shingles that more sets than one have in theirs: shingle, sid, n, at (place in the prefix), prev (the
+    shingle before), with the number of those sets and the head, the set that has the shingle first in its prefix."""
+    parts = F.expr("transform(prefix, (x, i) -> struct(x as shingle, i as at, if(i = 0, null, prefix[i - 1]) as prev))")
+    held = sets.select("sid", "n", F.explode(parts).alias("p")).select("sid", "n", "p.*")
+    counts = held.groupBy("shingle").agg(F.count("*").alias("sets"), F.min(F.struct("at", "sid", "n")).alias("head")).where("sets > 1")
+    return held.join(counts, "shingle")
 
-    Sections in BUCKET texts or fewer pair them all. In more crowded ones every text meets the first of the section and
-    its neighbours in the order of fingerprints, in slices of the section so that no task holds it whole; edited copies
-    share several sections, and linking goes on through what they meet.
-    """
-    held = nodes.select("key", "fp", "id", F.explode("sections").alias("section"))
-    counts = held.groupBy("section").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "fp")).alias("head")).where("n > 1")
-    held = held.join(counts, "section")
-    small = held.where(F.col("n") <= BUCKET).select("section", "key", "fp")
-    pairs = small.toDF("section", "a", "x").join(small.toDF("section", "b", "y"), "section").where("a < b").select("a", "x", "b", "y")
-    large = held.where(F.col("n") > BUCKET)
-    heads = large.select(F.col("head.key").alias("a"), F.col("head.fp").alias("x"), F.col("key").alias("b"), F.col("fp").alias("y")).where("a <> b")
-    slices = Window.partitionBy("section", F.shiftright("fp", 56)).orderBy("fp", "key")
-    beside = large.select(F.lag("key").over(slices).alias("a"), F.lag("fp").over(slices).alias("x"), F.col("key").alias("b"), F.col("fp").alias("y")).where("a is not null")
-    every = pairs.union(heads).union(beside)
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def _possible(a: str, b: str, least: float) -> Column:
+    """Whether sizes and places leave room for the threshold, if the sets share no shingle before this one."""
+    n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "at") for x in (a, b))
+    sizes = (n >= least * m - _EPS) & (m >= least * n - _EPS)
+    return sizes & (1 + F.least(n - i - 1, m - j - 1) >= least / (1 + least) * (n + m) - _EPS)
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that with the least id (null ids last), then text hash.
 
-    Groups are the components over equal texts, fingerprints (of `words`-word shingles) within DISTANCE bits, and texts
-    of similarity `least` or more. Null and empty texts are equal texts. Equal rows leave one. All columns are kept.
-    """
-    rows = materialize(_sketches(docs, id_col, text_col, words), "near-sketches")
-    nodes = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("sections").alias("sections"), F.min("doc_id").alias("id")), "near-nodes")
-    pairs = materialize(_candidates(nodes), "near-candidates")
+def _paired(held: DataFrame, least: float, *others: str) -> DataFrame:
+    """Pairs (a, b) of sids that may reach the threshold, of all that share a shingle and differ in the columns others.
 
-    needed = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    owners = needed.join(nodes.select("key", "id"), F.col("k") == F.col("key")).select("k", "id")
+    A pair at the threshold passes at its first shared shingle; where the shingles before are equal, this is not it.
+    """
+    x, y = held.alias("x"), held.alias("y")
+    new = F.col("x.prev").isNull() | F.col("y.prev").isNull() | (F.col("x.prev") != F.col("y.prev"))
+    rule = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sid") < F.col("y.sid")) & new & _possible("x", "y", least)
+    for c in others:
+        rule = rule & (F.col(f"x.{c}") != F.col(f"y.{c}"))
+    return x.join(y, rule).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+
+
+def _candidates(shared: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of sids to compare first: all of shingles in BUCKET sets or fewer, and those with the head of others."""
+    head = F.struct(F.col("head.n").alias("n"), F.col("head.at").alias("at"), F.col("head.sid").alias("sid"))
+    large = shared.where(F.col("sets") > BUCKET).select(F.struct("n", "at", "sid").alias("x"), head.alias("y"))
+    heads = large.where((F.col("x.sid") != F.col("y.sid")) & _possible("x", "y", least))
+    heads = heads.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+    return _paired(shared.where(F.col("sets") <= BUCKET), least).union(heads).distinct()
+
+
+def _remaining(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of sids in crowded shingles that may reach the threshold and are not in one component already."""
+    large = shared.where(F.col("sets") > BUCKET).select("shingle", "sid", "n", "at", "prev").join(roots, "sid")
+    several = large.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return _paired(materialize(large.join(several.select("shingle"), "shingle"), "near-crowded"), least, "root")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """Of the pairs (a, b) of sids those of similarity least or more, compared on whole texts."""
+    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sets.select("sid", "key"), "sid")
+    owners = needed.join(nodes.select("key", "id"), "key").select("sid", F.col("key").alias("k"), "id")
     texts = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = texts.join(owners, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("key", "text")
-    texts = materialize(texts, "near-texts")
+    texts = texts.join(owners, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("sid", "text")
+    texts = materialize(texts.dropDuplicates(["sid"]), "near-texts")
 
     def compare(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in parts:
             yield pd.Series([similarity(a, b, words) for a, b in zip(x, y, strict=True)], dtype="float64")
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    close = both.where(F.pandas_udf(compare, "double")(F.col("x"), F.col("y")) >= least).select("a", "b")
+    return materialize(both.where(F.pandas_udf(compare, "double")(F.col("x"), F.col("y")) >= least).select("a", "b"), "near-close")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the least id (null ids last), then text hash.
+
+    Groups are the components over equal texts, fingerprints (of `words`-word shingles) within DISTANCE bits, and texts
+    of similarity `least` or more, all of them. Null and empty texts are equal texts. Equal rows leave one. All columns
+    are kept.
 
-    # One graph of texts and fingerprints, told apart by a letter.
+    Texts of one shingle set are compared as one. Crowded shingles compare each set with one of theirs first; pairs in
+    them that are in one component by then need no comparison, all others get theirs.
+    """
+    rows = materialize(_sketches(docs, id_col, text_col, words, least), "near-sketches")
+    nodes = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("set").alias("set"), F.min("doc_id").alias("id")), "near-nodes")
+    sets = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("key").alias("key"))
+    sets = materialize(sets.withColumn("sid", F.monotonically_increasing_id()), "near-sets")
+    shared = materialize(_shared(sets), "near-shared")
+    pairs = materialize(_candidates(shared, least), "near-candidates")
+    close = _close(pairs, sets, nodes, docs, id_col, text_col, words, least)
+
+    # One graph of texts, sets and fingerprints, told apart by a letter.
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     print_ = lambda c: F.concat(F.lit("f"), F.hex(c))
-    by_print = nodes.select(F.concat(F.lit("t"), F.col("key")).alias("a"), print_(F.col("fp")).alias("b"))
+    by_print = nodes.select(named("t", "key").alias("a"), print_(F.col("fp")).alias("b"))
+    by_set = nodes.join(sets.select("set", "sid"), "set").select(named("t", "key").alias("a"), named("s", "sid").alias("b"))
     by_bits = links(nodes.select("fp").distinct()).select(print_(F.col("a")).alias("a"), print_(F.col("b")).alias("b"))
-    by_text = close.select(F.concat(F.lit("t"), F.col("a")).alias("a"), F.concat(F.lit("t"), F.col("b")).alias("b"))
-    reach = components(by_print.union(by_bits).union(by_text)).where(F.col("node").startswith("t"))
-    placed = nodes.join(reach, F.concat(F.lit("t"), F.col("key")) == F.col("node")).select("root", "key", "id")
+    by_text = close.select(named("s", "a").alias("a"), named("s", "b").alias("b"))
+    reach = materialize(components(by_print.union(by_set).union(by_bits).union(by_text)), "near-reach")
+
+    roots = reach.where(F.col("node").startswith("s")).select(F.substring("node", 2, 20).cast("long").alias("sid"), "root")
+    rest = _remaining(shared, roots, least).join(pairs, ["a", "b"], "left_anti")
+    rest = materialize(rest, "near-remaining")
+    reach = reach.where(F.col("node").startswith("t"))
+    if not rest.isEmpty():
+        more = _close(rest, sets, nodes, docs, id_col, text_col, words, least)
+        more = more.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = components(more).toDF("old", "new")
+        reach = reach.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    placed = nodes.join(reach, named("t", "key") == F.col("node")).select("root", "key", "id")
     chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("c"))
     chosen = materialize(chosen.select(F.col("c.id").alias("_id"), F.col("c.key").alias("_key")), "near-chosen")
     kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key")), "left_semi")
