@@ -376,6 +376,16 @@ def test_kept_of_chained_crowds(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_first(docs_of(spark, rows)).collect()} == brute_kept(rows)
 
 
+def test_kept_of_short_edited_copies(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in range(10, 61):
+        text = words(rng, n, 100_000).split()
+        copies = [text, [*text[:-1], "edited"], ["edited", *text[1:]], [*text, "appended"], ["before", *text], [*text[: n // 2], "edited", *text[n // 2 + 1 :]]]
+        rows += [(n * 10 + rng.randrange(10**6) * 1000, " ".join(c)) for c in rng.sample(copies, len(copies))]
+    assert {r.doc_id for r in simhash.keep_first(docs_of(spark, rows)).collect()} == brute_kept(rows)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5, 5), (301, 300), (300, 301)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
