@@ -328,7 +328,10 @@ def test_kept_documents(spark):
 
 
 def brute_kept(rows, least=0.8):
-    root = brute_components(range(len(rows)), lambda a, b: simhash.similarity(rows[a][1], rows[b][1]) >= least)
+    cut = [(t or "").lower().split() for _, t in rows]
+    cut = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in cut]
+    assert all(simhash.similarity(rows[0][1], t) == (len(cut[0] & c) / len(cut[0] | c) if cut[0] or c else 1) for (_, t), c in list(zip(rows, cut, strict=True))[:50])
+    root = brute_components(range(len(rows)), lambda a, b: len(s := cut[a] & cut[b]) >= least * (len(cut[a]) + len(cut[b]) - len(s)) - 1e-9)
     return {min(rows[i][0] for i in root if root[i] == r) for r in set(root.values())}
 
 
@@ -361,6 +364,39 @@ def test_kept_of_crowded_copies(spark):
     assert kept == brute_kept(rows)
 
 
+@pytest.mark.parametrize(("size", "block"), [(5, simhash.BLOCK), (20, 3), (60, simhash.BLOCK), (60, 7), (500, simhash.BLOCK)])
+def test_kept_of_edited_groups(spark, monkeypatch, size, block):
+    """Copies of an original with a late id, each near it, most of them not near one another; then the same without it."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(size)
+    original = words(rng, 300, 100_000).split()
+    rows = []
+    for i in range(size):
+        copy = list(original)
+        for at in rng.sample(range(300), 6):
+            copy[at] = f"own{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    rows += [(10_000 + i, words(rng, 100, 100_000)) for i in range(20)]
+    whole = [*rows, (5000, " ".join(original))]
+    assert {r.doc_id for r in simhash.keep_first(docs_of(spark, whole)).collect()} == brute_kept(whole)
+    if size <= 60:
+        assert {r.doc_id for r in simhash.keep_first(docs_of(spark, rows)).collect()} == brute_kept(rows)
+
+
+@given(st.lists(st.sets(st.integers(0, 60), max_size=30), min_size=2, max_size=12), st.integers(1, 9))
+@settings(max_examples=50, deadline=None)
+def test_overlaps(sets, columns):
+    held = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    pairs = np.array(list(itertools.combinations(range(len(sets)), 2)))
+    want = [len(sets[a] & sets[b]) for a, b in pairs]
+    before, simhash.COLUMNS = simhash.COLUMNS, columns
+    try:
+        assert simhash.overlaps(held, pairs).tolist() == simhash.overlaps(held, np.repeat(pairs, 5, axis=0))[::5].tolist() == want
+        assert [simhash._jaccard(held[a], held[b]) for a, b in pairs] == [len(sets[a] & sets[b]) / (len(sets[a] | sets[b]) or 1) if sets[a] or sets[b] else 1.0 for a, b in pairs]
+    finally:
+        simhash.COLUMNS = before
+
+
 def test_kept_of_chained_crowds(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 1)
     rng = random.Random(11)

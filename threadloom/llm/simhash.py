@@ -13,11 +13,11 @@ both), which takes 65 rows a member and no pairs.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +32,10 @@ EXACT = -(-SEGMENTS // DISTANCE) - 1  # the longest chain whose budget is under
 CHAIN = SEGMENTS
 BUCKET = 16
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-
-def words_of(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return _WORD.findall(text.lower() if text.isascii() else text.translate(_UPPER))
+def words_of(text: str | None) -> list[bytes]:
+    """The words as UTF-8, A-Z lower-cased: bytes know ASCII letters and ASCII white space alone."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -48,11 +44,11 @@ def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
     if not found:
         return np.zeros(0, dtype=np.uint64)
     if len(found) < words:
-        shingles = [" ".join(found)]
+        shingles = [b" ".join(found)]
     else:
-        shingles = list(map(" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
+        shingles = list(map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(s.encode("utf-8", "surrogatepass"), 42) for s in shingles), dtype="<u8", count=len(shingles))
+    return np.fromiter((digest(s, 42) for s in shingles), dtype="<u8", count=len(shingles))
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -143,40 +139,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # prunes. So candidates come from a prefix filter, which loses none: put the shingles of every text in one order, then two
 # texts at the threshold or above share one of the first n - ceil(threshold * n) + 1 of each. The bounds that follow from
 # both sizes and from the places of the first shared shingle hold for every such pair, too; what passes them is compared
-# exactly. Any order is right. Ours has shingles that are common in a sample of texts last, as they pair up the most.
+# on whole sets. Any order is right. Ours has shingles that are common in a sample of texts last, as they pair up the most.
 # Links of DISTANCE bits found by pigeonring count as well.
+#
+# A shingle of this part is its words' XXH64 combined into 64 bits, so that a text costs a few vector operations.
 
 SIMILARITY = 0.8
 SAMPLE = 16  # one text of so many, by hash, tells which shingles are common
 COMMON = 1 << 18
+BLOCK = 256  # sets on either side of a comparison of crowded shingles' pairs
+KNOWN_WORDS = 1 << 20
 _EPS = 1e-9
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Words(dict):
+    """XXH64 (seed 42) of words; a worker remembers KNOWN_WORDS at most."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, 42)
+        return found
+
+
+_KNOWN = _Words()
+
 
+def combined_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included; a text of fewer words is one shingle, one of none has none."""
+    found = words_of(text)
+    size = min(len(found), words)
+    if not size:
+        return np.zeros(0, dtype=np.uint64)
+    single = np.fromiter(map(_KNOWN.__getitem__, found), dtype=np.uint64, count=len(found))
+    n = len(found) - size + 1
+    out = np.full(n, size, dtype=np.uint64)
+    for i in range(size):
+        out = out * _STEP + single[i : i + n]
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
 
-def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY) -> tuple[str, int, np.ndarray]:
-    """Of a text's shingle hashes: digest and size of their set, and its prefix for the threshold, in order.
+
+def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY) -> np.ndarray:
+    """Of a set of shingle hashes (sorted, different) the prefix for the threshold, in order.
 
     common has sorted hashes and their ranks; hashes that are not among them come first, by value.
     """
-    found = np.unique(hashes)
-    digest = xxhash.xxh3_128_hexdigest(found.astype("<u8").tobytes())
     if not len(found):
-        return digest, 0, found.view(np.int64)
+        return found.view(np.int64)
     keep = len(found) - math.ceil(least * len(found) - _EPS) + 1
     values, ranks = common
     if len(values):
         at = np.minimum(np.searchsorted(values, found), len(values) - 1)
         known = values[at] == found
-        late = found[known][np.argsort(ranks[at[known]])]
-        found_in_order = np.concatenate([found[~known], late])
-    else:
-        found_in_order = found
-    return digest, len(found), found_in_order[: min(keep, len(found))].view(np.int64)
+        fresh = found[~known]
+        if len(fresh) < keep:
+            found = np.concatenate([fresh, found[known][np.argsort(ranks[at[known]])]])
+        else:
+            found = fresh
+    return found[:keep].view(np.int64)
 
 
 def similarity(a: str | None, b: str | None, words: int = 5) -> float:
     """Jaccard similarity of the sets of word shingles; a text of fewer words is one shingle, one of none has none."""
 
-    def shingles(text: str | None) -> set[tuple[str, ...]]:
+    def shingles(text: str | None) -> set[tuple[bytes, ...]]:
         found = words_of(text)
         return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
@@ -184,34 +212,56 @@ def similarity(a: str | None, b: str | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted arrays of different hashes."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return float(not len(y))
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return shared / (len(x) + len(y) - shared)
+
+
 def _common(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the COMMON most frequent shingles of a sample of texts, sorted, and their ranks, the rarest first."""
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in part])
+            found = [np.unique(combined_hashes(t, words)).view(np.int64) for t in part.to_pylist()]
+            yield _lists(found)
 
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(F.col(text_col).alias("text")).distinct()
-    counts = some.select(F.explode(F.pandas_udf(run, "array<long>")("text")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    counts = some.select(F.explode(F.arrow_udf(run, "array<long>")("text")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
     found = counts.where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(found)
     return found[order], len(found) - order
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int64).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64))
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """doc_id, key (of the text), fp, set (digest), n (size) and prefix of each row's shingle set: one narrow pass."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, words))
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            rows = []
+            fps, names, sizes, heads = [], [], [], []
             for text in part:
-                hashes = shingle_hashes(text, words)
-                rows.append((_majority(hashes), *prefix(hashes, common.value, least)))
-            out = pd.DataFrame(rows, columns=["fp", "set", "n", "prefix"])
-            out["fp"] = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-            yield out
-
-    sketch = F.pandas_udf(run, "fp long, set string, n int, prefix array<long>")
+                hashes = combined_hashes(text.as_py(), words)
+                fps.append(_majority(hashes))
+                found = np.unique(hashes)
+                names.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
+                sizes.append(len(found))
+                heads.append(prefix(found, common.value, least))
+            columns = [np.array(fps, dtype=np.uint64).view(np.int64), pa.array(names, type=pa.string()), np.array(sizes, dtype=np.int32), _lists(heads)]
+            yield pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["fp", "set", "n", "prefix"])
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    sketch = F.arrow_udf(run, "fp long, set string, n int, prefix array<long>")
     return docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), sketch(F.col(text_col)).alias("s")).select("doc_id", "key", "s.*")
 
 
@@ -235,17 +285,19 @@ def _possible(a: str, b: str, least: float) -> Column:
     return sizes & (1 + F.least(n - i - 1, m - j - 1) >= least / (1 + least) * (n + m) - _EPS)
 
 
-def _paired(held: DataFrame, least: float, *others: str) -> DataFrame:
-    """Pairs (a, b) of sids that may reach the threshold, of all that share a shingle and differ in the columns others.
+def _paired(held: DataFrame, least: float, *more: str, apart: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of sids that may reach the threshold, of all that share a shingle (and are apart, a rule on x and y);
+    of the columns `more` both values, as x_ and y_.
 
     A pair at the threshold passes at its first shared shingle; where the shingles before are equal, this is not it.
     """
     x, y = held.alias("x"), held.alias("y")
     new = F.col("x.prev").isNull() | F.col("y.prev").isNull() | (F.col("x.prev") != F.col("y.prev"))
     rule = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sid") < F.col("y.sid")) & new & _possible("x", "y", least)
-    for c in others:
-        rule = rule & (F.col(f"x.{c}") != F.col(f"y.{c}"))
-    return x.join(y, rule).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    if apart is not None:
+        rule = rule & apart
+    both = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in more for side in "xy"]
+    return x.join(y, rule).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), *both).distinct()
 
 
 def _candidates(shared: DataFrame, least: float) -> DataFrame:
@@ -258,26 +310,109 @@ def _candidates(shared: DataFrame, least: float) -> DataFrame:
 
 
 def _remaining(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of sids in crowded shingles that may reach the threshold and are not in one component already."""
-    large = shared.where(F.col("sets") > BUCKET).select("shingle", "sid", "n", "at", "prev").join(roots, "sid")
+    """Pairs (a, b) of sids in crowded shingles that may reach the threshold and are not in one component already, with
+    the blocks x_block and y_block of their ends: BLOCK sets of one crowded shingle, about."""
+    large = shared.where(F.col("sets") > BUCKET).select("shingle", "sid", "n", "at", "prev", "sets").join(roots, "sid")
     several = large.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return _paired(materialize(large.join(several.select("shingle"), "shingle"), "near-crowded"), least, "root")
+    large = materialize(large.join(several.select("shingle"), "shingle"), "near-crowded")
+    homes = large.groupBy("sid").agg(F.min(F.struct("shingle", "sets")).alias("h"))
+    place = F.xxhash64("h.shingle", F.pmod(F.xxhash64("sid"), F.ceil(F.col("h.sets") / BLOCK)))
+    placed = large.join(homes.select("sid", place.alias("block")), "sid")
+    return _paired(placed, least, "block", apart=F.col("x.root") != F.col("y.root"))
+
+
+def _sets_of(wanted: DataFrame, sets: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """sid and hashes (sorted, different, as bytes) of the wanted sids' whole shingle sets, each from one text of the set."""
+    spot = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id0"), F.col(c).isNull().alias("none"))
+    owners = wanted.distinct().join(sets.select("sid", "key"), "sid").join(nodes.select("key", "id"), "key")
+    owners = owners.select("sid", "key", *spot("id"))
+    texts = docs.select(text_key(text_col).alias("key"), *spot(id_col), F.col(text_col).alias("text"))
+    one = texts.join(owners, ["key", "id0", "none"]).dropDuplicates(["key", "id0", "none"])
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield pa.array([np.unique(combined_hashes(t.as_py(), words)).tobytes() for t in part], type=pa.binary())
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return materialize(one.select("sid", F.arrow_udf(run, "binary")("text").alias("hashes")), "near-hashes")
 
 
-def _close(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """Of the pairs (a, b) of sids those of similarity least or more, compared on whole texts."""
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sets.select("sid", "key"), "sid")
-    owners = needed.join(nodes.select("key", "id"), "key").select("sid", F.col("key").alias("k"), "id")
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = texts.join(owners, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("sid", "text")
-    texts = materialize(texts.dropDuplicates(["sid"]), "near-texts")
+def _close(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b) of sids those of similarity least or more."""
 
-    def compare(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def compare(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in parts:
-            yield pd.Series([similarity(a, b, words) for a, b in zip(x, y, strict=True)], dtype="float64")
+            both = zip(x, y, strict=True)
+            yield pa.array([_jaccard(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in p)) >= least - _EPS for p in both], type=pa.bool_())
 
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    return materialize(both.where(F.pandas_udf(compare, "double")(F.col("x"), F.col("y")) >= least).select("a", "b"), "near-close")
+    compare.__annotations__ = {"parts": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    both = pairs.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
+    return materialize(both.where(F.arrow_udf(compare, "boolean")("x", "y")).select("a", "b"), "near-close")
+
+
+def overlaps(held: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """How many hashes the sets of each pair (rows of two places in held) share.
+
+    Many pairs among few sets are counted by products of membership matrices, COLUMNS different hashes at a time.
+    """
+    if len(pairs) <= 4 * len(held):
+        common = lambda x, y: int(np.isin(x, y, assume_unique=True).sum()) if len(x) and len(y) else 0
+        return np.array([common(held[a], held[b]) for a, b in pairs], dtype=np.int64)
+    places = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    different, column = np.unique(np.concatenate(held), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    places, column = places[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, len(different) + COLUMNS, COLUMNS))
+    both = np.zeros((len(held), len(held)), dtype=np.float32)
+    for k in range(len(cuts) - 1):
+        some = np.zeros((len(held), COLUMNS), dtype=np.float32)
+        some[places[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - k * COLUMNS] = 1
+        both += some @ some.T
+    return np.rint(both[pairs[:, 0], pairs[:, 1]]).astype(np.int64)
+
+
+COLUMNS = 4096
+
+
+def _linked(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that connect what the pairs of similarity least or more connect, compared block against block.
+
+    A task meets 2 * BLOCK sets at once, about, and gives a spanning forest of their links, not all of them.
+    """
+    keyed = materialize(pairs.select("a", "b", F.least("x_block", "y_block").alias("p"), F.greatest("x_block", "y_block").alias("q")), "near-remaining")
+    ends = keyed.select("p", "q", F.col("a").alias("sid")).union(keyed.select("p", "q", "b")).distinct()
+    members = ends.join(hashes, "sid").select(F.col("p").alias("mp"), F.col("q").alias("mq"), "sid", "hashes")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        sids = right["sid"].to_numpy()
+        order = np.argsort(sids)
+        held = [np.frombuffer(right["hashes"][int(i)].as_buffer(), dtype=np.uint64) for i in order]
+        ends = np.stack([np.searchsorted(sids[order], left[c].to_numpy()) for c in "ab"], axis=1)
+        sizes = np.array([len(h) for h in held])
+        shared = overlaps(held, ends)
+        near = shared >= (least - _EPS) * (sizes[ends[:, 0]] + sizes[ends[:, 1]] - shared)
+        root, kept = list(range(len(held))), []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for a, b in ends[near].tolist():
+            x, y = find(a), find(b)
+            if x != y:
+                root[x] = y
+                kept.append((a, b))
+        found = sids[order][np.array(kept, dtype=np.int64).reshape(-1, 2)]
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    compare.__annotations__ = {"left": pa.Table, "right": pa.Table, "return": pa.Table}
+    return materialize(keyed.groupBy("p", "q").cogroup(members.groupBy("mp", "mq")).applyInArrow(compare, "a long, b long"), "near-linked")
+
+
+def _rooted(ids: DataFrame, reach: DataFrame) -> DataFrame:
+    """sid and root of every sid; those without edges are their own."""
+    return ids.select("sid").join(reach.toDF("node", "root"), F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = SIMILARITY) -> DataFrame:
@@ -296,27 +431,26 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialize(sets.withColumn("sid", F.monotonically_increasing_id()), "near-sets")
     shared = materialize(_shared(sets), "near-shared")
     pairs = materialize(_candidates(shared, least), "near-candidates")
-    close = _close(pairs, sets, nodes, docs, id_col, text_col, words, least)
-
-    # One graph of texts, sets and fingerprints, told apart by a letter.
-    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    print_ = lambda c: F.concat(F.lit("f"), F.hex(c))
-    by_print = nodes.select(named("t", "key").alias("a"), print_(F.col("fp")).alias("b"))
-    by_set = nodes.join(sets.select("set", "sid"), "set").select(named("t", "key").alias("a"), named("s", "sid").alias("b"))
-    by_bits = links(nodes.select("fp").distinct()).select(print_(F.col("a")).alias("a"), print_(F.col("b")).alias("b"))
-    by_text = close.select(named("s", "a").alias("a"), named("s", "b").alias("b"))
-    reach = materialize(components(by_print.union(by_set).union(by_bits).union(by_text)), "near-reach")
-
-    roots = reach.where(F.col("node").startswith("s")).select(F.substring("node", 2, 20).cast("long").alias("sid"), "root")
+    crowded = shared.where(F.col("sets") > BUCKET).select("sid")
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(crowded)
+    hashes = _sets_of(wanted, sets, nodes, docs, id_col, text_col, words)
+
+    # Edges between sets: of equal fingerprints, of fingerprints within DISTANCE bits, of similar texts.
+    prints = nodes.join(sets.select("set", "sid"), "set").select("fp", "sid").distinct()
+    firsts = materialize(prints.groupBy("fp").agg(F.min("sid").alias("first"), F.count("*").alias("sids")), "near-prints")
+    by_print = prints.join(firsts.where("sids > 1"), "fp").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    ends = firsts.select("fp", "first")
+    by_bits = links(ends.select("fp")).join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    reach = components(by_print.union(by_bits).union(_close(pairs, hashes, least)))
+    roots = materialize(_rooted(sets, reach), "near-roots")
+
     rest = _remaining(shared, roots, least).join(pairs, ["a", "b"], "left_anti")
-    rest = materialize(rest, "near-remaining")
-    reach = reach.where(F.col("node").startswith("t"))
-    if not rest.isEmpty():
-        more = _close(rest, sets, nodes, docs, id_col, text_col, words, least)
+    more = _linked(rest, hashes, least)
+    if not more.isEmpty():
         more = more.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         joined = components(more).toDF("old", "new")
-        reach = reach.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
-    placed = nodes.join(reach, named("t", "key") == F.col("node")).select("root", "key", "id")
+        roots = roots.join(joined, F.col("root") == F.col("old"), "left").select("sid", F.coalesce("new", "root").alias("root"))
+    placed = nodes.join(sets.select("set", "sid"), "set").join(roots, "sid").select("root", "key", "id")
     chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("c"))
     chosen = materialize(chosen.select(F.col("c.id").alias("_id"), F.col("c.key").alias("_key")), "near-chosen")
     kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key")), "left_semi")
