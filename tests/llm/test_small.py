@@ -183,7 +183,7 @@ def brute_contamination(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK, 7])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK, 700])
 def test_contamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK", block)
     rng = random.Random(3)
