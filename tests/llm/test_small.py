@@ -160,6 +160,27 @@ def test_pieces_match_the_library(spark):
     assert pieces.encode_documents(docs_of(spark, AWKWARD).limit(0)).count() == 0
 
 
+def test_pairs_of_pieces(spark):
+    """Verdicts by undoing merges equal those by merging, on random pairs, on halves of pieces and with equal scores."""
+    rng = random.Random(13)
+    real = pieces.load()
+    parts = [pieces.SPACE, "a", "b", "c"]
+    while len(parts) < 60:
+        parts.append(rng.choice(parts[1:]) + rng.choice(parts[1:])) if rng.random() < 0.9 else parts.append("".join(rng.choices("abc", k=3)))
+        parts = list(dict.fromkeys(parts))
+    toy = pieces.Vocabulary(parts, [-float(rng.randrange(20)) for _ in parts], [-1] * 256, set())
+    for v in (real, toy):
+        encoder = pieces.Encoder(v)
+        able = encoder.texts
+        pairs = [(rng.choice(able), rng.choice(able)) for _ in range(3000)]
+        pairs += [(p[:k], p[k:]) for p in rng.sample(able, min(len(able), 3000)) for k in range(1, len(p)) if {p[:k], p[k:]} <= v.by_text.keys() and v.merge(p[:k]) == [p[:k]] and v.merge(p[k:]) == [p[k:]]]
+        got = encoder.pairs.agree(*(np.array([v.by_text[p[k]] for p in pairs]) for k in (0, 1)))
+        assert got.tolist() == [v.merge(x + y) == [x, y] for x, y in pairs]
+    texts = ["".join(rng.choices("abc", k=rng.randrange(1, 60))) for _ in range(200)]
+    encoder = pieces.Encoder(toy)
+    assert [[toy.pieces[i] for i in x] for x in encoder.encode(texts)] == [toy.merge(pieces.SPACE + t) for t in texts]
+
+
 # Decontamination
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -32,7 +33,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of new segments that one suffix array indexes, and segments that a worker remembers between batches.
 INDEX_CHARS = 1 << 18
-REMEMBERED = 150_000
+REMEMBERED = 250_000
+#: Segments of which so few are left in a batch are followed one by one.
+FEW = 32
 #: Characters of whole texts that are encoded together.
 TEXT_CHARS = 1 << 19
 _SEGMENT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -59,14 +62,21 @@ class Vocabulary:
                 out[i] = bytes([b])
         return out
 
-    def merge(self, text: str) -> list[str]:
-        """Plain byte-pair merging of one segment: the best score first, then the leftmost."""
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        """Pieces by merging order: 0 has the best score, equal scores have equal ranks."""
+        place = {x: n for n, x in enumerate(sorted({self.scores[i] for i in self.by_text.values()}, reverse=True))}
+        return {p: place[self.scores[i]] for p, i in self.by_text.items()}
+
+    def merge(self, text: str, last: list[tuple[str, str]] | None = None) -> list[str]:
+        """Plain byte-pair merging of one segment: the best score first, then the leftmost. The parts of the last merge
+        are put into `last`."""
         parts, after, before = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
-        heap: list[tuple[float, int, str, str]] = []
+        heap: list[tuple[int, int, str, str]] = []
 
         def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) < len(parts) and (found := self.by_text.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (-self.scores[found], i, parts[i], parts[j]))
+            if i >= 0 and (j := after[i]) < len(parts) and (found := self.ranks.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (found, i, parts[i], parts[j]))
 
         for i in range(len(parts) - 1):
             offer(i)
@@ -75,6 +85,8 @@ class Vocabulary:
             j = after[i] if parts[i] == left else len(parts)
             if not left or j >= len(parts) or parts[j] != right:
                 continue
+            if last is not None:
+                last[:] = [(left, right)]
             parts[i], parts[j], after[i] = left + right, "", after[j]
             if after[j] < len(parts):
                 before[after[j]] = i
@@ -83,6 +95,57 @@ class Vocabulary:
         return [p for p in parts if p]
 
 
+class Pairs:
+    """Tells of many pairs of pieces at once whether their joined text encodes to just the two.
+
+    It does unless a merge across the border comes before those that complete both pieces. So the merges of both are
+    undone, the last one first, and at each step the pieces that meet at the border are looked up. That the last merge
+    is the one of the worst rank holds for pieces none of whose parts has a worse rank than what it becomes; pairs with
+    any other piece are merged instead.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, able: list[str]):
+        self.v, self.size = vocabulary, len(vocabulary.pieces) + 1
+        ids, ranks = vocabulary.by_text, vocabulary.ranks
+        self.rank = np.full(self.size, -1, dtype=np.int64)  # of pieces that a merge makes
+        self.left, self.right = np.zeros(self.size, dtype=np.int64), np.zeros(self.size, dtype=np.int64)
+        self.odd = np.zeros(self.size, dtype=bool)
+        for p in sorted(able, key=len):
+            if len(p) > 1:
+                last: list[tuple[str, str]] = []
+                vocabulary.merge(p, last)
+                i, a, b = ids[p], *(ids[x] for x in last[0])
+                self.rank[i], self.left[i], self.right[i] = ranks[p], a, b
+                self.odd[i] = self.odd[a] or self.odd[b] or max(self.rank[a], self.rank[b]) >= ranks[p]
+        joins = {ids[p[:k]] * self.size + ids[p[k:]]: r for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        self.keys = np.array(sorted(joins) or [-1], dtype=np.int64)
+        self.made = np.array([joins[k] for k in sorted(joins)] or [0], dtype=np.int64)
+
+    def agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.ones(len(left), dtype=bool)
+        strange = self.odd[left] | self.odd[right]
+        for n in np.flatnonzero(strange).tolist():
+            x, y = self.v.pieces[left[n]], self.v.pieces[right[n]]
+            out[n] = self.v.merge(x + y) == [x, y]
+        live = np.flatnonzero(~strange)
+        a, b = left[live], right[live]
+        limit = np.full(len(live), np.iinfo(np.int64).max)
+        while len(live):
+            key = a * self.size + b
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            across = (self.keys[at] == key) & (self.made[at] < limit)
+            out[live[across]] = False
+            p, q = self.rank[a], self.rank[b]
+            go = ~across & ((p >= 0) | (q >= 0))
+            live, a, b, p, q = live[go], a[go], b[go], p[go], q[go]
+            # Of two merges of one rank the left one comes first, so it is undone last, and a merge across the border
+            # comes before the right one but not before the left one.
+            first = p > q
+            limit = np.where(first, p, q + 1)
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return out
+
+
 def load(model: str = MODEL) -> Vocabulary:
     import sentencepiece
 
@@ -113,9 +176,9 @@ class Encoder:
         self.per_word = 63 // bits
         self.bits = bits
         self.low, self.high = self._piece_keys()
-        self.pairs: dict[int, bool] = {}
-        self.pair_keys, self.pair_agrees = np.array([np.iinfo(np.int64).max]), np.zeros(1, dtype=bool)
-        self.known: dict[str, array] = {}
+        self.pairs = Pairs(vocabulary, self.texts)
+        self._forget_pairs()
+        self.known: dict[str, bytes] = {}
         self.unknown = len(vocabulary.pieces)  # stands for a character without a piece; never merges
         self.lengths[self.unknown] = 1
 
@@ -177,34 +240,35 @@ class Encoder:
         offset = np.repeat((first - np.concatenate([[0], np.cumsum(many)[:-1]])).astype(np.int32), many) + np.arange(many.sum(), dtype=np.int32)
         return suffixes[offset], np.repeat(self.ids.astype(np.int32), many)
 
+    def _forget_pairs(self) -> None:
+        self.pair_keys, self.pair_agrees = np.array([np.iinfo(np.int64).max]), np.zeros(1, dtype=bool)
+        self.new_keys: list[np.ndarray] = []
+        self.new_agrees: list[np.ndarray] = []
+
     def _agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each pair of neighbouring pieces is what their joined text encodes to; -1 on the left is the start."""
         key = left * (self.unknown + 1) + right
         different, back = np.unique(key, return_inverse=True)
         at = np.minimum(np.searchsorted(self.pair_keys, different), len(self.pair_keys) - 1)
         verdict, settled = self.pair_agrees[at], self.pair_keys[at] == different
-        pairs, pieces, unknown = self.pairs, self.v.pieces, self.unknown
-        for n in np.flatnonzero(~settled).tolist():
-            k = int(different[n])
-            known = pairs.get(k)
-            if known is None:
-                a, b = divmod(k, unknown + 1)
-                if k < 0 or a == unknown or b == unknown:
-                    known = True
-                else:
-                    x, y = pieces[a], pieces[b]
-                    known = self.v.merge(x + y) == [x, y]
-                pairs[k] = known
-            verdict[n] = known
+        fresh = np.flatnonzero(~settled)
+        if len(fresh):
+            a, b = np.divmod(different[fresh], self.unknown + 1)
+            found = np.ones(len(fresh), dtype=bool)
+            real = (a >= 0) & (a != self.unknown) & (b != self.unknown)
+            found[real] = self.pairs.agree(a[real], b[real])
+            verdict[fresh] = found
+            self.new_keys.append(different[fresh])
+            self.new_agrees.append(found)
         return verdict[back]
 
     def _settle_pairs(self) -> None:
-        """Move what was learnt about pairs into sorted arrays, where many are looked up at once."""
-        keys = np.concatenate([self.pair_keys, np.fromiter(self.pairs.keys(), dtype=np.int64, count=len(self.pairs))])
-        agrees = np.concatenate([self.pair_agrees, np.fromiter(self.pairs.values(), dtype=bool, count=len(self.pairs))])
-        order = np.argsort(keys, kind="stable")
-        self.pair_keys, self.pair_agrees = keys[order], agrees[order]
-        self.pairs.clear()
+        """Move what was learnt about pairs into sorted arrays, where many are looked up at once, when enough is new."""
+        if 8 * sum(map(len, self.new_keys)) < len(self.pair_keys):
+            return
+        keys, first = np.unique(np.concatenate([self.pair_keys, *self.new_keys]), return_index=True)
+        self.pair_keys, self.pair_agrees = keys, np.concatenate([self.pair_agrees, *self.new_agrees])[first]
+        self.new_keys, self.new_agrees = [], []
 
     def _index(self, segments: list[str]) -> None:
         """Encode new segments together and remember them."""
@@ -235,46 +299,67 @@ class Encoder:
             fits = self._agree(before.astype(np.int64), through.astype(np.int64))
             last[at[fits] + self.lengths[through[fits]]] = through[fits]
         self._settle_pairs()
-        tail, length = last.tolist(), self.lengths.tolist()
-        for s, start, size in zip(segments, starts.tolist(), sizes.tolist(), strict=True):
-            out, q = array("i"), start + size
-            while q > start:
-                t = tail[q]
-                if t == self.unknown:
-                    out.extend(self.v.byte_ids[b] for b in reversed(s[q - 1 - start].encode("utf-8", "replace")))
-                else:
-                    out.append(t)
-                q -= length[t]
-            out.reverse()
-            self.known[s] = out
+        self.known.update(zip(segments, self._traced(last, starts, starts + sizes, points), strict=True))
+
+    def _traced(self, last: np.ndarray, starts: np.ndarray, ends: np.ndarray, points: np.ndarray) -> list[bytes]:
+        """The piece ids of every segment, packed: all are followed back from their ends at once."""
+        at, segment = ends.copy(), np.arange(len(ends))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(at) > FEW:
+            piece = last[at]
+            found.append((segment, piece, at))
+            at = at - self.lengths[piece]
+            inside = at > starts[segment]
+            at, segment = at[inside], segment[inside]
+        for n, q in zip(segment.tolist(), at.tolist(), strict=True):  # what is longer than all others, one by one
+            start, trail = int(starts[n]), []
+            while q > start and last[q] >= 0:
+                trail.append(q)
+                q -= int(self.lengths[last[q]])
+            found += [(np.full(1, n), last[q : q + 1], np.full(1, q))] * (q > start)
+            if trail:
+                places = np.array(trail)
+                found.append((np.full(len(places), n), last[places], places))
+        if not found:
+            return [b""] * len(ends)
+        segment, piece, place = (np.concatenate([f[k] for f in found]) for k in range(3))
+        if (piece < 0).any():
+            raise ValueError("a segment without an encoding")
+        order = np.lexsort((place, segment))
+        segment, piece, place = segment[order], piece[order], place[order]
+        ids, many = piece.astype(np.int32), np.ones(len(piece), dtype=np.int64)
+        strange = np.flatnonzero(piece == self.unknown)
+        if len(strange):
+            raw = [chr(int(points[q - 1])).encode("utf-8", "replace") for q in place[strange]]
+            many[strange] = [len(r) for r in raw]
+            ids = np.repeat(ids, many)
+            spots = np.cumsum(many) - many
+            for n, r in zip(strange.tolist(), raw, strict=True):
+                ids[spots[n] : spots[n] + len(r)] = [self.v.byte_ids[b] for b in r]
+        ends = np.cumsum(np.bincount(segment, weights=many, minlength=len(ends)).astype(np.int64)) * 4
+        blob, cuts = ids.tobytes(), [0, *ends.tolist()]
+        return [blob[a:b] for a, b in itertools.pairwise(cuts)]
 
     def encode(self, texts: list[str | None]) -> list[array]:
         """Piece ids of each whole text; null and empty texts have none."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if len(self.pair_keys) > 12 * REMEMBERED:
-            self.pair_keys, self.pair_agrees = self.pair_keys[-1:], self.pair_agrees[-1:]
-        out = []
+            self._forget_pairs()
         cut = [_SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         fresh: dict[str, None] = {}
         room = INDEX_CHARS
         for segments in cut:
-            for s in set(segments).difference(self.known):
-                if s not in fresh:
-                    fresh[s] = None
-                    room -= len(s) + 1
+            new = dict.fromkeys(itertools.filterfalse(self.known.__contains__, segments))
+            if new:
+                room -= sum(map(len, new)) + len(new)
+                fresh |= new
             if room <= 0:
                 self._index(list(fresh))
                 fresh, room = {}, INDEX_CHARS
         if fresh:
             self._index(list(fresh))
-        known = self.known
-        for segments in cut:
-            ids = array("i")
-            for s in segments:
-                ids += known[s]
-            out.append(ids)
-        return out
+        return [array("i", b"".join(map(self.known.__getitem__, segments))) for segments in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -326,7 +411,6 @@ def encoded(docs: DataFrame, text: Column, model: str = MODEL, back: bool = Fals
                     texts.append(pa.array([decode(encoder.v, ids) for ids in coded], type=pa.string()))
             ids = pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int64).astype(np.int32), np.frombuffer(b"".join(blobs), dtype=np.int32))
             yield pa.StructArray.from_arrays([ids, pa.concat_arrays(texts)], names=["ids", "back"]) if back else ids
-        encoder.known.clear()
 
     run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "ids array<int>, back string" if back else "array<int>")(text)
