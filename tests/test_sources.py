@@ -45,6 +45,31 @@ def test_dump_to_cache(spark, tmp_path, window):
     assert make().count() == 4
 
 
+def test_broken_cache_is_rebuilt(spark, tmp_path):
+    (tmp_path / "RC_1.json").write_bytes(raw())
+    make = lambda: ndjson.ensure_parquet_cache(spark, str(tmp_path), "RC_*", COMMENTS, str(tmp_path / "cache"))
+    assert make().count() == 4 and not (tmp_path / "cache/staged").exists()
+    for part in (tmp_path / "cache/rows").glob("*.parquet"):
+        part.write_bytes(part.read_bytes()[:40])
+    for check in (tmp_path / "cache/rows").glob(".*.crc"):
+        check.unlink()
+    assert make().count() == 4
+    spark.createDataFrame([(1,)], "other int").write.mode("overwrite").parquet(str(tmp_path / "cache/rows"))
+    assert make().count() == 4
+
+
+@pytest.mark.parametrize("damage", ["cut", "garbage"])
+def test_broken_stream_leaves_a_reject(spark, tmp_path, damage):
+    body = "\n".join(json.dumps({"id": f"n{i}", "author": "x" * (i % 50), "created_utc": i, "retrieved_on": 1}) for i in range(20_000)).encode()
+    squeezed = zstandard.ZstdCompressor().compress(body)
+    two = squeezed + zstandard.ZstdCompressor().compress(b"\n" + body)
+    (tmp_path / "RC_1.zst").write_bytes(two[: len(squeezed) * 3 // 2] if damage == "cut" else two + b"no frame")
+    kept = ndjson.ensure_parquet_cache(spark, str(tmp_path), "RC_*", COMMENTS, str(tmp_path / "cache")).count()
+    assert 20_000 <= kept < 40_000 if damage == "cut" else kept == 40_000
+    told = [r._corrupt for r in spark.read.parquet(str(tmp_path / "cache/rejects")).collect()]
+    assert any("broken zstd stream" in (t or "") for t in told)
+
+
 def test_no_match_and_empty_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         ndjson.read_ndjson(spark, str(tmp_path), "*.json", COMMENTS)

@@ -28,21 +28,22 @@ def read_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType
     """Raw rows of NDJSON files, compressed or not: every column as text, and _corrupt for lines that are no JSON.
 
     Blank lines are skipped and bad UTF-8 bytes are replaced. Files ending in .zst go through the long-window reader,
-    one task a file, and are dealt out again behind it.
+    one task a file, and are dealt out again behind it; one that breaks off gives a line in _corrupt that says so.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = T.StructType([*(T.StructField(f.name, T.StringType()) for f in schema.fields), T.StructField(CORRUPT, T.StringType())])
     squeezed, plain = [p for p in paths if p.endswith(".zst")], [p for p in paths if not p.endswith(".zst")]
     parts = []
     if plain:
-        parts.append(spark.read.schema(raw).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(plain))
+        parts.append(spark.read.text(plain).select(F.col("value").alias("line")).where(F.trim("line") != ""))
     if squeezed:
         from threadloom.sources.zstd_source import read_zst_lines
 
-        parsed = F.from_json("line", raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        lines = read_zst_lines(spark, squeezed).repartition(max(len(squeezed), spark.sparkContext.defaultParallelism))
-        parts.append(lines.select(parsed.alias("r")).select("r.*"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts.append(read_zst_lines(spark, squeezed).repartition(max(len(squeezed), spark.sparkContext.defaultParallelism)))
+    lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # The text reader keeps bytes as they are; U+FFFD takes the place of those that are no UTF-8.
+    parsed = F.from_json(F.call_function("make_valid_utf8", F.col("line")), raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(parsed.alias("r")).select("r.*")
 
 
 def _cast(name: str, kind: T.DataType):
@@ -88,18 +89,33 @@ def read_ndjson(spark: SparkSession, folder: str, pattern: str, schema: T.Struct
     return kept.select(*columns) if columns else kept
 
 
+def _readable(spark: SparkSession, rows: str, rejects: str, schema: T.StructType) -> bool:
+    """Whether a cache is whole: both tables committed, footers readable, the schema's columns and types in the rows."""
+    if not all(_exists(spark, f"{p}/_SUCCESS") for p in (rows, rejects)):
+        return False
+    try:
+        got = {f.name: f.dataType for f in spark.read.option("mergeSchema", "true").parquet(rows).schema.fields}
+    except Exception:  # noqa: BLE001  (a broken footer comes as one of several JVM errors)
+        return False
+    return got == {f.name: f.dataType for f in schema.fields}
+
+
 def ensure_parquet_cache(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, cache: str) -> DataFrame:
-    """The typed table behind a glob, from its Parquet cache where that was committed, else built now.
+    """The typed table behind a glob, from its Parquet cache where that is whole, else built now.
 
-    Every match is ingested, sorted. Rows go to `cache`/rows and rejects to `cache`/rejects, and the cache counts as
-    whole once both carry Spark's _SUCCESS mark. A source without rows gives an empty table of the schema.
+    Every match is ingested, sorted, and parsed once: all rows go to a staging table, from which `cache`/rows and
+    `cache`/rejects are written. A cache without Spark's _SUCCESS marks, with a broken footer or with another schema is
+    deleted and built anew. A source without rows gives an empty table of the schema.
     """
-    rows, rejects = f"{cache.rstrip('/')}/rows", f"{cache.rstrip('/')}/rejects"
-    if not all(_exists(spark, f"{p}/_SUCCESS") for p in (rows, rejects)):
+    rows, rejects, staged = (f"{cache.rstrip('/')}/{name}" for name in ("rows", "rejects", "staged"))
+    if not _readable(spark, rows, rejects, schema):
         conformed = conform(read_lines(spark, matching(spark, folder, pattern), schema), schema)
-        kept, rejected = split(conformed)
+        conformed.write.mode("overwrite").parquet(staged)
+        kept, rejected = split(spark.read.schema(conformed.schema).parquet(staged))
         kept.write.mode("overwrite").parquet(rows)
         rejected.write.mode("overwrite").parquet(rejects)
+        target = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     got = spark.read.parquet(rows)
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
     return got.to(nullable)

@@ -50,26 +50,73 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(batch)], names=["line"])
 
 
+#: Fixed start of the line that stands for the rest of a broken file.
+BROKEN = "broken zstd stream in"
+
+
 def stream_lines(path: str) -> Iterator[str]:
-    """Non-blank lines of a .zst file, bad bytes replaced. What a broken file gives up to its break is kept."""
+    """Non-blank lines of a .zst file, bad bytes replaced.
+
+    What a broken or truncated file gives up to its break is kept; a last line, which is no JSON, tells of the break.
+    """
     import io
 
-    import zstandard
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if ":" in path else f"file://{path}")
     with store.open_input_stream(at, compression=None) as source:
-        reader = zstandard.ZstdDecompressor(max_window_size=WINDOW).stream_reader(source, read_across_frames=True)
-        text = io.TextIOWrapper(io.BufferedReader(reader), encoding="utf-8", errors="replace", newline="\n")
-        while True:
-            try:
-                line = text.readline()
-            except zstandard.ZstdError:
-                return
-            if not line:
-                return
+        frames = _frames_class()(source)
+        text = io.TextIOWrapper(io.BufferedReader(frames), encoding="utf-8", errors="replace", newline="\n")
+        while line := text.readline():
             if line := line.strip():
                 yield line
+        if frames.broken:
+            yield f"{BROKEN} {path}: {frames.broken}"
+
+
+def _frames_class():
+    import io
+
+    import zstandard
+
+    class Frames(io.RawIOBase):
+        """Decompressed bytes of all frames of a stream; `broken` says why it ended early, if it did."""
+
+        def __init__(self, source):
+            self.source, self.broken, self.held = source, None, b""
+            self.make = zstandard.ZstdDecompressor(max_window_size=WINDOW).decompressobj
+            self.frame, self.raw, self.begun = self.make(), b"", False
+
+        def readable(self) -> bool:
+            return True
+
+        def _more(self) -> bytes:
+            while True:
+                if not self.raw:
+                    self.raw = self.source.read(1 << 17)
+                    if not self.raw:
+                        if self.begun and not self.broken:
+                            self.broken = "the last frame is cut off"
+                        return b""
+                try:
+                    out, self.begun = self.frame.decompress(self.raw), True
+                except zstandard.ZstdError as error:
+                    self.broken = str(error)
+                    return b""
+                self.raw = self.frame.unused_data if self.frame.eof else b""
+                if self.frame.eof:
+                    self.frame, self.begun = self.make(), False
+                if out:
+                    return out
+
+        def readinto(self, into) -> int:
+            if not self.held and not self.broken:
+                self.held = self._more()
+            n = min(len(into), len(self.held))
+            into[:n], self.held = self.held[:n], self.held[n:]
+            return n
+
+    return Frames
 
 
 def read_zst_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
