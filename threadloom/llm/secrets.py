@@ -1,9 +1,9 @@
 """Secret scans: fixed base patterns plus corpus-wide ownership frequency.
 
 Base spans come from three patterns. Candidates are the values of base spans and further opaque, mixed-class tokens.
-Their hashes are counted over the whole corpus by distinct repositories and distinct owners: a value that many owners
-hold is a widely copied example, one that a single owner holds is owner-specific and looks live. The values of
-owner-specific candidates, base or not, become spans of kind `live`.
+Their hashes are counted over the whole corpus by distinct repositories and distinct owners: a value that EXAMPLE_OWNERS
+owners hold, or EXAMPLE_REPOS repositories of whatever owners, is a widely copied example; one below both is
+owner-specific and looks live. The values of owner-specific candidates, base or not, become spans of kind `live`.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 LEAST_ENTROPY = 3.5
-EXAMPLE_OWNERS = 2
+#: A value is a widely copied example from so many distinct owners on, or from so many distinct repositories on.
+EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 1000
 
 _SCAN = (
-    "doc_id long, owner string, repo string, text_key string, n_assign long, n_access long, n_hex long, base string, "
+    "doc_id string, owner string, repo string, text_key string, n_assign long, n_access long, n_hex long, base string, "
     "cands array<struct<kind:string,start:long,stop:long,at:long,hash:string>>"
 )
 
@@ -65,11 +67,15 @@ def entropy(value: str) -> float:
 def opaque_spans(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
     """Tokens of 20 characters or more with a digit, both cases and high entropy that touch no base span."""
     out = []
+    spans, at, reach = sorted(s[:2] for s in taken), 0, 0
     for m in OPAQUE.finditer(text):
         value = m[0]
         if not (any(c.isdigit() for c in value) and value.lower() != value and value.upper() != value):
             continue
-        if entropy(value) >= LEAST_ENTROPY and not any(a < m.end() and m.start() < b for a, b, _, _ in taken):
+        # Both lists are in order and reach is the farthest end of the base spans that start before this token's end.
+        while at < len(spans) and spans[at][0] < m.end():
+            reach, at = max(reach, spans[at][1]), at + 1
+        if reach <= m.start() and entropy(value) >= LEAST_ENTROPY:
             out.append((m.start(), m.end(), value))
     return out
 
@@ -93,20 +99,18 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = [*base, *((a, b, "live", value) for a, b, value in opaque_spans(text, base))]
             cands = [{"kind": kind, "start": a, "stop": b, "at": b - len(value), "hash": _digest(value)} for a, b, kind, value in found]
             rows.append((doc_id, owner, repo, _digest(text), kinds["assign"], kinds["access"], kinds["hex"], joined([s[:3] for s in base]), cands))
-        out = pd.DataFrame(rows, columns=["doc_id", "owner", "repo", "text_key", "n_assign", "n_access", "n_hex", "base", "cands"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+        yield pd.DataFrame(rows, columns=["doc_id", "owner", "repo", "text_key", "n_assign", "n_access", "n_hex", "base", "cands"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """One row per document with base counts, base spans and all candidates (a table in the shared folder)."""
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(id_col).cast("string").alias("doc_id"),  # numbers with nulls would come to pandas as floats
         F.col(owner_col).cast("string").alias("owner"),
         F.col(repo_col or id_col).cast("string").alias("repo"),
         F.col(text_col).alias("text"),
     )
-    return materialize(rows.mapInPandas(_scan, _SCAN), "secrets-scan")
+    return materialize(rows.mapInPandas(_scan, _SCAN).withColumn("doc_id", F.col("doc_id").cast("long")), "secrets-scan")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -121,9 +125,9 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"), F.sum("n").alias("occurrences"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, keyed: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, owned (spans whose value one owner
-    alone holds), examples (spans whose value EXAMPLE_OWNERS or more owners hold).
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, keyed: bool = False, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, owned (candidates that are
+    owner-specific), examples (those whose value example_owners owners or example_repos repositories hold, or more).
 
     Null text is empty text; an empty table gives no rows; repeated rows each get their row; null ids are kept.
     Rows are matched by (id, text hash), so rows that share an id but not a text stay apart.
@@ -133,7 +137,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = scan(docs, id_col, text_col, owner_col, repo_col)
     spans = scanned.select("doc_id", "text_key", F.explode("cands").alias("c")).distinct().select("doc_id", "text_key", "c.*")
     known = spans.join(ownership(scanned), "hash")
-    owned = F.col("owners") < EXAMPLE_OWNERS
+    owned = (F.col("owners") < example_owners) & (F.col("repos") < example_repos)
     by_doc = known.groupBy("doc_id", "text_key").agg(
         F.array_union(
             F.collect_set(F.when(F.col("kind") != "live", F.struct("start", "stop", "kind"))),
