@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 
 from threadloom.llm import decontaminate, langid, merkle, pieces, secrets, sharding, simhash, suffixes, warc
 from threadloom.llm.components import components
-from threadloom.llm.ranges import splitters
+from threadloom.llm.ranges import range_of, splitters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, page_id long, size long, ord long, key string, words string, fp long"
 
@@ -141,6 +141,35 @@ def test_ownership_separates_examples(spark):
     assert secrets.find_secrets(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_ownership_by_both_counts(spark):
+    """Verdicts against brute force: distinct owners and repositories of every value; a leak by two owners stays live."""
+    rng = random.Random(16)
+    values = [f"Ab{i}" + "".join(rng.choices("ghijkmHIJKLMN23", k=22)) + "Zz9" for i in range(12)]
+    rows = []
+    for n in range(300):
+        i = min(rng.randrange(12), rng.randrange(12))
+        owner = "only" if i == 0 else f"o{rng.randrange(1 + i % 4)}" if n % 9 else None
+        rows.append((n, f"token = {values[i]} in text {n % 50}", "en", owner))
+    rows += [(900 + n, "password: TwoOwnersLeak77xyz", "en", f"p{n % 2}") for n in range(6)]
+    got = {r.doc_id: r for r in secrets.find_secrets(docs_of(spark, rows), example_repos=30).collect()}
+    holders = {}
+    for n, t, _, owner in rows:
+        holders.setdefault(t.split()[2 if t.startswith("token") else 1], []).append((owner, n))
+    for n, t, _, _ in rows:
+        held = holders[t.split()[2 if t.startswith("token") else 1]]
+        live = len({o for o, _ in held}) < 3 and len({d for _, d in held}) < 30
+        assert (got[n].owned, got[n].examples, "live" in got[n].spans) == (live, not live, live)
+    assert len({r.owned for r in got.values()}) == 2 and got[900].owned == 1
+
+
+@given(st.text(alphabet="aB3=+ \"p:", max_size=90), st.lists(st.tuples(st.integers(0, 80), st.integers(1, 20)), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_opaque_spans_touch_no_base_span(text, taken):
+    spans = [(a, a + n, "hex", "") for a, n in taken]
+    free = [(a, b, v) for a, b, v in secrets.opaque_spans(text, [])]
+    assert secrets.opaque_spans(text, spans) == [s for s in free if not any(a < s[1] and s[0] < b for a, b, _, _ in spans)]
+
+
 # SentencePiece
 
 
@@ -476,9 +505,67 @@ def test_trees_locate_edits(spark):
     out = row.select(merkle.edits(merkle.F.col("a"), merkle.F.col("b")).alias("e"), "a").first()
     assert out.e.leaves == [3] and len(out.e.sections) == 1
     root, sections, leaves = out.a.split(":")
-    parts = ["One. ", "Two.\n", "Three. ", "Four.\n"]
-    assert leaves == ".".join(hashlib.sha256(p.encode()).hexdigest()[:8] for p in parts)
-    assert root == hashlib.sha256(f"{sections}|{leaves}".encode()).hexdigest()[:32]
+    whole = [hashlib.sha256(p.encode()).hexdigest() for p in ("One. ", "Two.\n", "Three. ", "Four.\n")]
+    groups = [[]]
+    for h in whole:
+        groups[-1].append(h)
+        if h[7] in "08":
+            groups.append([])
+    branches = [hashlib.sha256(".".join(g).encode()).hexdigest() for g in groups if g]
+    assert leaves == ".".join(h[:8] for h in whole) and sections == ".".join(h[:16] for h in branches)
+    assert root == hashlib.sha256(".".join(branches).encode()).hexdigest()[:32]
+
+
+def test_edits_against_both_trees(spark):
+    rng = random.Random(14)
+    base = [words(rng, 9) + ".\n" for _ in range(120)]
+    rows = []
+    for _ in range(12):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randrange(4)):
+            copy[at] = words(rng, 9) + ".\n"
+        rows.append(("".join(copy), "".join(base)))
+    rows += [("", "".join(base)), ("".join(base), "")]
+    c = merkle.F.col
+    frame = merkle.with_fingerprints(spark.createDataFrame(rows, "a string, b string"), x="a", y="b")
+    for r in frame.select("x", "y", merkle.edits(c("x"), c("y")).alias("e"), (merkle.fingerprint(c("a")) == c("x")).alias("same")).collect():
+        (_, sx, lx), (_, sy, ly) = (f.split(":") for f in (r.x, r.y))
+        sx, sy, lx, ly = (v.split(".") if v else [] for v in (sx, sy, lx, ly))
+        assert r.same and r.e.sections == [i for i, h in enumerate(sx) if h not in sy]
+        at, where = 0, []
+        for h in lx:
+            where.append(at)
+            at += h[7] in "08"
+        assert r.e.leaves == [i for i, h in enumerate(lx) if sx[where[i]] not in sy and h not in ly]
+        assert bool(r.e.sections) == (r.x != r.y and bool(lx))
+
+
+WIDE = [-(1 << 63), -5, 0, 7, (1 << 63) - 1, None]
+
+
+def test_ids_over_64_bits(spark, tmp_path):
+    rows = [(i, f"text {i}. " * 40) for i in WIDE]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    want = {i: (t[: len(t) - len(t) // 2] + nx[: len(t) // 2]) for (i, t), (_, nx) in zip(order, order[1:] + order[:1], strict=True)}
+    got = {r.doc_id: r.edited_sha256 for r in merkle.edited_fingerprints(docs_of(spark, rows)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    pages = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string")
+    back = warc.read_warc(warc.write_warc(pages, str(tmp_path / "w"), shards=4)).collect()
+    assert {r.page_id for r in back} == set(WIDE) and all(r.intact and r.record_type == "response" for r in back)
+
+
+def test_splitters_over_64_bits(spark):
+    rng = random.Random(15)
+    keys = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(500)] + list(range(-300, 300)) + [(1 << 62) + i for i in range(900)] + WIDE
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    bounds = splitters(rows, "k", sharding.F.lit(1), 40)
+    real = sorted(k for k in keys if k is not None)
+    assert bounds == sorted(set(bounds)) and len(bounds) == 39
+    cut = [0, *(sum(k < b for k in real) for b in bounds), len(real)]
+    assert max(b - a for a, b in itertools.pairwise(cut)) <= 2 * len(real) / 40 + 1
+    for held in (bounds, bounds[:1], bounds[:5]):
+        placed = rows.select("k", range_of(sharding.F.col("k"), held).alias("r")).collect()
+        assert all(r.r == (0 if r.k is None else sum(b <= r.k for b in held)) for r in placed)
 
 
 # Language ID

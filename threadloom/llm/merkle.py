@@ -1,10 +1,11 @@
 """Document fingerprints: Merkle trees over paragraphs and sections, in DataFrame functions alone.
 
 A text is cut into paragraphs (after newlines and after sentence ends, and longer ones after every PIECE characters),
-so its leaves follow its content and an edit moves the leaves of its own paragraph at most; a section ends after a paragraph whose own hash falls into one of eight classes, or at the end. Leaf, section and root hashes
-are SHA-256, the section's over its leaves and the root's over its sections. The fingerprint is
-`root:section.section...:leaf.leaf...` with shortened hashes, so roots test equality, and where roots differ, sections
-and then leaves that the other tree lacks locate the edits.
+so its leaves follow its content and an edit moves the leaves of its own paragraph at most; a section ends after a
+paragraph whose own hash falls into one of eight classes, or at the end. Leaves are SHA-256 of paragraphs, a section is
+the SHA-256 of its leaves and the root that of its sections, all over whole digests. The fingerprint is
+`root:section.section...:leaf.leaf...`, shortened on output alone, so roots test equality, and where roots differ,
+sections and then the leaves of those that the other tree lacks locate the edits.
 """
 
 from __future__ import annotations
@@ -29,19 +30,42 @@ def paragraphs(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, BREAK), lambda p: F.regexp_extract_all(p, pieces, F.lit(0))))
 
 
-def fingerprint(text: Column) -> Column:
-    """root:sections:leaves of a non-null text column; the empty text has a root and nothing else.
+def leaves(text: Column) -> Column:
+    return F.transform(paragraphs(text), lambda p: F.sha2(p, 256))
+
+
+def _marked(hashes: Column) -> Column:
+    """Leaves as one string in which a mark ends each section; whole digests or those of a fingerprint."""
+    return F.array_join(F.transform(hashes, lambda h: F.when(F.substring(h, LEAF, 1).isin("0", "8"), F.concat(h, F.lit(_OPEN))).otherwise(h)), ".")
+
+
+def _groups(hashes: Column) -> Column:
+    """The leaves of each section, joined by dots."""
+    return F.filter(F.split(_marked(hashes), rf"{_OPEN}\.?"), lambda g: g != "")
+
+
+def sections(hashes: Column) -> Column:
+    return F.transform(_groups(hashes), lambda g: F.sha2(g, 256))
+
+
+def _printed(sections_: Column, leaves_: Column) -> Column:
+    short = lambda hashes, n: F.array_join(F.transform(hashes, lambda h: F.substring(h, 1, n)), ".")
+    return F.concat_ws(":", F.substring(F.sha2(F.array_join(sections_, "."), 256), 1, ROOT), short(sections_, BRANCH), short(leaves_, LEAF))
 
-    The leaves become one string first, in which a mark ends each section; cutting that at the marks gives sections
-    without another pass over the text.
-    """
-    leaves = F.transform(paragraphs(text), lambda p: F.substring(F.sha2(p, 256), 1, LEAF))
-    marked = F.array_join(F.transform(leaves, lambda h: F.when(F.substring(h, LEAF, 1).isin("0", "8"), F.concat(h, F.lit(_OPEN))).otherwise(h)), ".")
-    groups = F.filter(F.split(marked, rf"{_OPEN}\.?"), lambda g: g != "")
-    sections = F.transform(groups, lambda g: F.substring(F.sha2(g, 256), 1, BRANCH))
-    flat = F.regexp_replace(marked, _OPEN, "")
-    root = F.substring(F.sha2(F.concat_ws("|", F.array_join(sections, "."), flat), 256), 1, ROOT)
-    return F.concat_ws(":", root, F.array_join(sections, "."), flat)
+
+def with_fingerprints(df: DataFrame, **texts: str) -> DataFrame:
+    """df with a fingerprint column, named by the keyword, of each non-null text column; the empty text has a root and
+    nothing else. Leaves and sections are columns of their own on the way, so that each is made once."""
+    kept = df.columns
+    df = df.select(*kept, *(leaves(F.col(t)).alias(f"_l_{name}") for name, t in texts.items()))
+    df = df.select("*", *(sections(F.col(f"_l_{name}")).alias(f"_s_{name}") for name in texts))
+    return df.select(*kept, *(_printed(F.col(f"_s_{name}"), F.col(f"_l_{name}")).alias(name) for name in texts))
+
+
+def fingerprint(text: Column) -> Column:
+    """root:sections:leaves of a non-null text column, as one expression."""
+    hashes = leaves(text)
+    return _printed(sections(hashes), hashes)
 
 
 def level(print_: Column, n: int) -> Column:
@@ -58,18 +82,26 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Where two trees differ: the places (from 0) of sections and of leaves of a that b lacks."""
-
-    def lacking(n: int) -> Column:
-        own, other = level(a, n), level(b, n)
-        return F.filter(F.transform(own, lambda h, i: F.when(~F.array_contains(other, h), i)), lambda i: i.isNotNull())
+    """Where tree a differs from b: the places (from 0) of sections and of leaves of a that b lacks.
 
-    return F.struct(lacking(1).alias("sections"), lacking(2).alias("leaves"))
+    Trees are descended: equal roots end it, then sections are compared, then the leaves of sections that b lacks.
+    """
+    lacks = F.array_except(level(a, 1), level(b, 1))
+    other = F.array_except(level(a, 2), level(b, 2))
+    # Of a leaf: its hash, the place of its section.
+    members = F.flatten(F.transform(_groups(level(a, 2)), lambda g, i: F.transform(F.split(g, r"\."), lambda h: F.struct(h.alias("h"), F.get(level(a, 1), i).alias("s")))))
+    places = lambda held: F.filter(held, lambda i: i.isNotNull())
+    sections_ = places(F.transform(level(a, 1), lambda h, i: F.when(F.array_contains(lacks, h), i)))
+    leaves_ = places(F.transform(members, lambda m, i: F.when(F.array_contains(lacks, m["s"]) & F.array_contains(other, m["h"]), i)))
+    none = F.array().cast("array<int>")
+    same = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)
+    return F.struct(F.when(same, none).otherwise(sections_).alias("sections"), F.when(same, none).otherwise(leaves_).alias("leaves"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint of every row; null text is empty text. A narrow pass."""
-    return docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.coalesce(F.col(text_col), F.lit(""))).alias("fingerprint"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return with_fingerprints(rows, fingerprint="text").select("doc_id", "fingerprint")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,36 +123,33 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = sizes.agg(F.sum("size")).first()[0] or 0
     bounds = splitters(sizes, "doc_id", F.col("size"), max(1, min(1 << 14, max(total // (24 << 20), min(partitions(spark), total // (1 << 20))))))
 
+    # Each range is a task of its own. A text is fingerprinted once, behind the exchange; its predecessor takes both over.
     ranged = rows.withColumn("range", range_of(F.col("doc_id"), bounds).cast("int"))
+    dealt = with_fingerprints(ranged.repartitionById(len(bounds) + 1, F.col("range")), fingerprint="text")
     order = [F.col("doc_id").desc_nulls_last(), F.sha2("text", 256).desc()]
     window = Window.partitionBy("range").orderBy(*order)
-    following = ranged.withColumn("next", F.lead("text").over(window))
+    following = dealt.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(window))
 
     # The first row of each range: ids are compared first, so that a text is looked at for one id a range alone.
     # What the driver holds is a number a range.
     tops = sizes.groupBy(range_of(F.col("doc_id"), bounds).cast("int").alias("r")).agg(F.max("doc_id").alias("top"))
     tied = ranged.join(F.broadcast(tops), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = tied.groupBy("range").agg(F.max(F.struct(F.sha2("text", 256).alias("h"), "text")).alias("t"))
+    heads = tied.groupBy("range").agg(F.max(F.struct(F.sha2("text", 256).alias("h"), "text")).alias("t")).select("range", "t.text")
+    heads = with_fingerprints(heads, fingerprint="text")
     falling = sorted((r[0] for r in tops.select("r").collect()), reverse=True)
     succession = spark.createDataFrame(list(zip(falling, falling[1:] + falling[:1], strict=True)), "r int, then int")
-    nexts = succession.join(heads.select(F.col("range").alias("then"), F.col("t.text").alias("across")), "then").select("r", "across")
-    open_ = following.join(nexts, (F.col("range") == F.col("r")) & F.col("next").isNull(), "left")
+    across = heads.select(F.col("range").alias("then"), F.struct("text", "fingerprint").alias("across"))
+    nexts = succession.join(across, "then").select("r", "across")
+    open_ = following.join(nexts, (F.col("range") == F.col("r")) & F.col("next").isNull(), "left").withColumn("next", F.coalesce("next", "across"))
 
-    own = open_.select("doc_id", "text", F.coalesce("next", "across").alias("next"), F.length("text").cast("long").alias("n_chars"))
     half = F.shiftright("n_chars", 1).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next", F.lit(1), half))
-    printed = own.select("doc_id", "n_chars", "text", "next", edited.alias("edited")).select(
+    own = open_.select("doc_id", "text", "next", "fingerprint", F.length("text").cast("long").alias("n_chars"))
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next.text", F.lit(1), half))
+    own = own.select("doc_id", "n_chars", "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"), edited.alias("edited"))
+    return with_fingerprints(own, edited_fingerprint="edited").select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        fingerprint(F.col("next")).alias("next_fingerprint"),
-    )
-    return printed.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),

@@ -168,17 +168,19 @@ ORACLES: dict[str, str] = {
         ), t AS (
             SELECT unnest([text, edited, nx]) AS x, unnest([0, 1, 2]) AS role, doc_id, n, sha256(edited) AS edited_sha256 FROM e
         ), l AS (
-            SELECT doc_id, n, edited_sha256, role, list_transform(flatten(list_transform(regexp_extract_all(x, '(?s)(?:.*?(?:\n|[.!?] )|.+$)'), lambda q: regexp_extract_all(q, '(?s).{1,32}'))), lambda p: sha256(p)[1:8]) AS leaves FROM t
+            SELECT doc_id, n, edited_sha256, role, list_transform(flatten(list_transform(regexp_extract_all(x, '(?s)(?:.*?(?:\n|[.!?] )|.+$)'), lambda q: regexp_extract_all(q, '(?s).{1,32}'))), lambda p: sha256(p)) AS leaves FROM t
         ), m AS (
             SELECT *, coalesce(list_aggregate(list_transform(leaves, lambda h: CASE WHEN h[8] IN ('0', '8') THEN h || chr(31) ELSE h END), 'string_agg', '.'), '') AS marked FROM l
         ), s AS (
-            SELECT *, replace(marked, chr(31), '') AS flat,
-                coalesce(list_aggregate(list_transform(list_filter(string_split_regex(marked, chr(31) || '\.?'), lambda g: g <> ''), lambda g: sha256(g)[1:16]), 'string_agg', '.'), '') AS sections
+            SELECT *, list_transform(list_filter(string_split_regex(marked, chr(31) || '\.?'), lambda g: g <> ''), lambda g: sha256(g)) AS sections,
+                list_transform(leaves, lambda h: h[1:8]) AS short
             FROM m
+        ), r AS (
+            SELECT *, sha256(coalesce(list_aggregate(sections, 'string_agg', '.'), ''))[1:32] AS root FROM s
         ), f AS (
-            SELECT doc_id, n, edited_sha256, role, list_distinct(leaves) AS leaves, sha256(sections || '|' || flat)[1:32] AS root,
-                sha256(sections || '|' || flat)[1:32] || ':' || sections || ':' || flat AS print
-            FROM s
+            SELECT doc_id, n, edited_sha256, role, list_distinct(short) AS leaves, root,
+                root || ':' || coalesce(list_aggregate(list_transform(sections, lambda h: h[1:16]), 'string_agg', '.'), '') || ':' || coalesce(list_aggregate(short, 'string_agg', '.'), '') AS print
+            FROM r
         ), g AS (
             SELECT doc_id, edited_sha256, any_value(n) AS n,
                 max(print) FILTER (role = 0) AS fingerprint, max(print) FILTER (role = 1) AS edited_fingerprint,

@@ -30,7 +30,8 @@ NAMESPACE = uuid.UUID("6f0d7f0e-6a53-4c3f-9f0e-7d3c5a1b2c4d")
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-BUILT = "page_id long, url string, sha string, payload_bytes long, member binary"
+# Ids go through pandas as text: a column of numbers with nulls would come as floats there.
+BUILT = "page_id string, url string, sha string, payload_bytes long, member binary"
 MANIFEST = "shard int, file_no int, tmp_name string, name string, records long, bytes long, sha256 string"
 RECORD = (
     "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
@@ -89,7 +90,6 @@ def _responses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         ids = [_int(x) for x in frame.page_id]
         frame["member"] = [record(i, u, 0, h, len(p), p) for i, u, h, p in zip(ids, frame.url, frame.sha, frame.payload, strict=True)]
-        frame["page_id"] = pd.array(ids, dtype="Int64")
         yield frame.drop(columns="payload")
 
 
@@ -203,13 +203,15 @@ def write_warc(
         shard.alias("shard"), "page_id", "url", "sha", F.lit(0).alias("kind"), "response_id", "may_respond",
         F.lit(None).cast("long").alias("payload_bytes"), F.lit(None).cast("binary").alias("member"),
     )
-    built = rows.select("page_id", "url", F.sha1("payload").alias("sha"), size.alias("payload_bytes"), "payload").mapInPandas(_responses, BUILT)
+    built = rows.select(F.col("page_id").cast("string"), "url", F.sha1("payload").alias("sha"), size.alias("payload_bytes"), "payload").mapInPandas(_responses, BUILT)
+    built = built.withColumn("page_id", F.col("page_id").cast("long"))
     records = built.select(
         shard.alias("shard"), "page_id", "url", "sha", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("response_id"),
         F.lit(None).cast("boolean").alias("may_respond"), "payload_bytes", "member",
     )
     n = len(bounds) + 1
     dealt = records.union(rules).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "sha", "kind")
+    dealt = dealt.withColumn("page_id", F.col("page_id").cast("string")).withColumn("response_id", F.col("response_id").cast("string"))
     manifest = materialize(dealt.mapInPandas(_writer(out, roll_bytes), MANIFEST), "warc-manifest")
     committed = manifest.repartition(min(64, n), "name").mapInPandas(_commit(out), MANIFEST)
     done = materialize(committed.withColumn("root", F.lit(out)), "warc-committed")
@@ -286,7 +288,5 @@ def read_warc(manifest: DataFrame, batch: int = 256) -> DataFrame:
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows)
-    for name in ("page_id", "refers_to", "payload_bytes"):
-        frame[name] = frame[name].astype("Int64")
-    return frame
+    whole = ("page_id", "refers_to", "payload_bytes")
+    return pd.DataFrame({k: pd.array([r[k] for r in rows], dtype="Int64") if k in whole else [r[k] for r in rows] for k in rows[0]})
