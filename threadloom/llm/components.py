@@ -30,12 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
     node can be split, so a star of any size is fine. Rounds grow with the logarithm of the longest path.
     """
     now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "cc")
+    shape, before = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first(), None
     while True:
         then = materialize(_small_star(_large_star(now)), "cc")
-        shape = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        done = shape(then) == shape(now)
         drop_table(now)
-        now = then
-        if done:
+        now, after = then, shape(then)
+        if after == before:
             break
+        before = after
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
