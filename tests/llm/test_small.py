@@ -586,3 +586,22 @@ def test_language(spark):
     assert kept.count() == len(rows) + 1 and kept.columns == DOCS.replace(",", "").split()[::2]
     assert {r.lang_pred for r in langid.identify(docs_of(spark, [(1, "abc", None, "s")])).collect()} == {"und"}
     assert langid.identify(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_many_languages_and_long_texts(spark):
+    rng = random.Random(17)
+    sounds = {f"l{n}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(4)] for n in range(70)}
+    rows = [(i, " ".join(rng.choices(sounds[lang], k=25 if i else 60_000)), lang, "s") for i, lang in enumerate(list(sounds) * 6)]
+    got = {r.doc_id: r for r in langid.identify(docs_of(spark, rows)).collect()}
+    held = [(got[i].lang_pred, lang) for i, _, lang, _ in rows if got[i].held_out]
+    assert {r.lang_pred for r in got.values()} == set(sounds)
+    assert sum(a == b for a, b in held) >= 0.9 * len(held) > 50
+    few = {r.lang_pred for r in langid.identify(docs_of(spark, rows), classes=3).collect()}
+    assert len(few) == 3 and few <= set(sounds)
+
+
+def test_held_out_accuracy_on_the_real_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'")
+    right, n = got.selectExpr("sum(int(lang = lang_pred))", "count(*)").first()
+    assert n > 20 and right >= 0.97 * n

@@ -50,19 +50,26 @@ def features(text: str) -> np.ndarray:
     return counts / max(float(np.linalg.norm(counts)), 1e-9)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 8.0, epochs: int = 30) -> tuple[np.ndarray, float]:
-    """L1-loss linear SVM by dual coordinate descent with a bias feature; y holds -1 and 1. Fixed visiting order."""
+def sparse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places and values of what is not zero."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16), x[at]
+
+
+def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float = 8.0, epochs: int = 30) -> tuple[np.ndarray, float]:
+    """L1-loss linear SVM by dual coordinate descent with a bias feature, on sparse rows; y holds -1 and 1. Fixed order."""
     n = len(y)
-    w, bias, alpha = np.zeros(x.shape[1], dtype=np.float64), 0.0, np.zeros(n)
-    norms = (x.astype(np.float64) ** 2).sum(axis=1) + 1.0
+    w, bias, alpha = np.zeros(DIMS, dtype=np.float64), 0.0, np.zeros(n)
+    norms = [float(np.dot(v, v)) + 1.0 for _, v in rows]
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(n):
-            slope = y[i] * (x[i] @ w + bias) - 1.0
+        for i in rng.permutation(n).tolist():
+            at, value = rows[i]
+            slope = y[i] * (float(np.dot(w[at], value)) + bias) - 1.0
             new = min(max(alpha[i] - slope / norms[i], 0.0), cost)
             if (step := new - alpha[i]) != 0.0:
-                w += step * y[i] * x[i]
+                w[at] += step * y[i] * value
                 bias += step * y[i]
                 alpha[i] = new
                 moved = max(moved, abs(step))
@@ -79,11 +86,11 @@ class Duel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, DIMS), dtype=np.float32))
     biases: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def fit(self, x: np.ndarray, names: np.ndarray) -> Duel:
+    def fit(self, x: list[tuple[np.ndarray, np.ndarray]], names: np.ndarray) -> Duel:
         machines = []
         for a, b in itertools.combinations(self.classes, 2):
             rows = np.flatnonzero((names == a) | (names == b))
-            machines.append(fit_svm(x[rows], np.where(names[rows] == a, 1.0, -1.0)))
+            machines.append(fit_svm([x[i] for i in rows.tolist()], np.where(names[rows] == a, 1.0, -1.0)))
         if machines:
             self.weights = np.stack([w for w, _ in machines])
             self.biases = np.array([b for _, b in machines])
@@ -119,13 +126,14 @@ class Model:
         return lang, p * q
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    if not texts:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Model:
+    """The model of sparse feature rows and their languages."""
+    if not rows:
         return Model(Duel([]), {})
-    x, names = np.stack([features(t) for t in texts]), np.array(langs, dtype=object)
+    names = np.array(langs, dtype=object)
     fams = np.array([family_of(lang) for lang in langs], dtype=object)
-    within = {f: Duel(sorted(set(names[fams == f]))).fit(x, names) for f in sorted(set(fams))}
-    return Model(Duel(sorted(within)).fit(x, fams), within)
+    within = {f: Duel(sorted(set(names[fams == f]))).fit(rows, np.where(fams == f, names, "")) for f in sorted(set(fams))}
+    return Model(Duel(sorted(within)).fit(rows, fams), within)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -133,10 +141,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most per_language labelled texts of each language (and of 64 languages), by the smallest id hashes."""
+def training_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str, classes: int | None = None) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, places, values) of at most per_language labelled texts with a letter of each language, by the smallest
+    id hashes. Features are made in the executors: what comes to the driver is bounded by DIMS a text, however long.
+    classes bounds the languages, the most frequent first; None takes them all."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()
+    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col)
+    counts = (counts if classes is None else counts.limit(classes)).collect()
     spread = 1 << 30
     share = None
     for lang, count in counts:
@@ -145,27 +156,36 @@ def training_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str
         share = rule if share is None else share.when(F.col(lang_col) == lang, F.lit(limit))
     if share is None:
         return []
+
+    def make(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            made = [sparse(features(t)) if _LETTER.search(t) else (np.zeros(0, np.uint16), np.zeros(0, np.float32)) for t in part]
+            yield pd.Series([at.tobytes() + value.astype(np.float32).tobytes() for at, value in made], dtype=object)
+
     order = F.pmod(F.xxhash64(id_col, text_col), F.lit(spread))
-    got = rows.where(order < share).select(order.alias("o"), F.col(lang_col), F.col(text_col)).collect()
+    some = rows.where(order < share).select(order.alias("o"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.pandas_udf(make, "binary")(F.col(text_col)).alias("x"))
     out = []
-    for _, group in itertools.groupby(sorted(got, key=lambda r: (r[1], r[0], r[2])), key=lambda r: r[1]):
-        out += [(r[2], r[1]) for r in itertools.islice(group, per_language)]
+    for lang, group in itertools.groupby(sorted(some.collect(), key=lambda r: (r.lang, r.o, r.h)), key=lambda r: r.lang):
+        for r in itertools.islice(group, per_language):
+            n = len(r.x) // 6
+            if n:
+                out.append((lang, np.frombuffer(r.x, dtype=np.uint16, count=n), np.frombuffer(bytes(r.x[2 * n :]), dtype=np.float32)))
     return out
 
 
 def identify(
-    docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False
+    docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False,
+    classes: int | None = None,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document, by a model fitted on rows that are not held out.
 
-    per_language bounds the labelled texts taken of each language for training (documented sample bound); everything
-    is predicted, from whole texts. Null texts and texts without a letter are `und` with score 0; without labelled
+    per_language bounds the labelled texts taken of each language for training (documented sample bound), classes the
+    number of languages (none by default); everything is predicted, from whole texts. Null texts and texts without a letter are `und` with score 0; without labelled
     rows all are `und`. Null and repeated ids are kept as rows; an empty table gives no rows; other columns are dropped.
     With keep, docs' own columns come back with a struct _p (lang_pred, score) instead.
     """
-    sample = training_rows(docs, per_language, id_col, text_col, lang_col)
-    texts = [t for t, _ in sample if _LETTER.search(t)]
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts, [lang for t, lang in sample if _LETTER.search(t)]))
+    sample = training_rows(docs, per_language, id_col, text_col, lang_col, classes)
+    model = docs.sparkSession.sparkContext.broadcast(fit([(at, value) for _, at, value in sample], [lang for lang, _, _ in sample]))
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
 
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
