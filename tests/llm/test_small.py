@@ -447,6 +447,26 @@ def test_overlaps(sets, columns):
         simhash.COLUMNS = before
 
 
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbB \t\né\u00a0\u2003", max_size=30)), max_size=12), st.integers(1, 6), st.integers(1, 40))
+@settings(max_examples=150, deadline=None)
+def test_combined_hashes(texts, n, block):
+    """Equal exactly where word shingles are equal, one by one and in blocks of any size."""
+    before, simhash.HASHED_BYTES = simhash.HASHED_BYTES, block
+    try:
+        got = [h.tolist() for h in simhash.many_combined_hashes(texts, n)]
+    finally:
+        simhash.HASHED_BYTES = before
+    assert got == [simhash.combined_hashes(t, n).tolist() for t in texts]
+    seen = {}
+    for t, hashes in zip(texts, got, strict=True):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        cut = [tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
+        assert len(cut) == len(hashes)
+        for c, h in zip(cut, hashes, strict=True):
+            assert seen.setdefault(c, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_kept_of_chained_crowds(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 1)
     rng = random.Random(11)

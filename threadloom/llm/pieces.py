@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of new segments that one suffix array indexes, and segments that a worker remembers between batches.
 INDEX_CHARS = 1 << 18
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Segments of which so few are left in a batch are followed one by one.
 FEW = 32
 #: Characters of whole texts that are encoded together.
@@ -411,6 +411,7 @@ def encoded(docs: DataFrame, text: Column, model: str = MODEL, back: bool = Fals
                     texts.append(pa.array([decode(encoder.v, ids) for ids in coded], type=pa.string()))
             ids = pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int64).astype(np.int32), np.frombuffer(b"".join(blobs), dtype=np.int32))
             yield pa.StructArray.from_arrays([ids, pa.concat_arrays(texts)], names=["ids", "back"]) if back else ids
+        encoder.known.clear()  # what is learnt about pairs serves later tasks; segments are many and take memory
 
     run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "ids array<int>, back string" if back else "array<int>")(text)

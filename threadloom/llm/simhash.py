@@ -13,6 +13,7 @@ both), which takes 65 rows a member and no pairs.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,43 +143,95 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # on whole sets. Any order is right. Ours has shingles that are common in a sample of texts last, as they pair up the most.
 # Links of DISTANCE bits found by pigeonring count as well.
 #
-# A shingle of this part is its words' XXH64 combined into 64 bits, so that a text costs a few vector operations.
+# A shingle of this part is its words' 64-bit polynomial hashes combined into 64 bits, so that a block of texts costs a few
+# vector operations over its bytes.
 
 SIMILARITY = 0.8
 SAMPLE = 16  # one text of so many, by hash, tells which shingles are common
 COMMON = 1 << 18
 BLOCK = 256  # sets on either side of a comparison of crowded shingles' pairs
-KNOWN_WORDS = 1 << 20
+HASHED_BYTES = 1 << 20  # bytes of texts that are hashed together, about
 _EPS = 1e-9
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_POINT = 0x5851F42D4C957F2D
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class _Words(dict):
-    """XXH64 (seed 42) of words; a worker remembers KNOWN_WORDS at most."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, 42)
-        return found
 
+#: A random number for each byte; A-Z have those of a-z.
+_OF_BYTE = _mix(_mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEP))
+_OF_BYTE[65:91] = _OF_BYTE[97:123]
 
-_KNOWN = _Words()
 
+class _Powers:
+    """Powers of _POINT and of its inverse modulo 2 ** 64, as many as the longest block so far has bytes."""
 
-def combined_hashes(text: str | None, words: int = 5) -> np.ndarray:
-    """64-bit hashes of the word shingles, repeats included; a text of fewer words is one shingle, one of none has none."""
-    found = words_of(text)
-    size = min(len(found), words)
-    if not size:
-        return np.zeros(0, dtype=np.uint64)
-    single = np.fromiter(map(_KNOWN.__getitem__, found), dtype=np.uint64, count=len(found))
-    n = len(found) - size + 1
+    up = down = np.ones(1, dtype=np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            series = lambda x: np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n - 1, x, dtype=np.uint64)]))
+            cls.up, cls.down = series(_POINT), series(pow(_POINT, -1, 1 << 64))
+        return cls.up[:n], cls.down[:n]
+
+
+def _word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of a block's words, which white space or its ends bound."""
+    raw = np.frombuffer(block, dtype=np.uint8)
+    up, down = _Powers.of(len(raw))
+    space = np.concatenate([[True], _IS_SPACE[raw], [True]])
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_OF_BYTE[raw] * up)])
+    return starts, _mix((sums[ends] - sums[starts]) * down[starts]) if len(starts) else np.zeros(0, dtype=np.uint64)
+
+
+def _combined(single: np.ndarray, size: int) -> np.ndarray:
+    n = len(single) - size + 1
     out = np.full(n, size, dtype=np.uint64)
     for i in range(size):
         out = out * _STEP + single[i : i + n]
-    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
+    return _mix(out)
+
+
+def many_combined_hashes(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
+    """64-bit hashes of the word shingles of each text, repeats included; a text of fewer words is one shingle, one of
+    none has none. Texts are hashed in blocks of about HASHED_BYTES that end at white space."""
+    joined = b" ".join([t.encode("utf-8", "surrogatepass") if t else b"" for t in texts])
+    found, at = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))], 0
+    while at < len(joined):
+        gap = _GAP.search(joined, at + HASHED_BYTES)
+        end = gap.end() if gap else len(joined)
+        starts, hashes = _word_hashes(joined[at:end])
+        found.append((starts + at, hashes))
+        at = end
+    starts, single = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    sizes = np.fromiter((len(t.encode("utf-8", "surrogatepass")) if t and not t.isascii() else len(t or "") for t in texts), dtype=np.int64, count=len(texts))
+    edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes + 1)])).tolist()
+    whole = _combined(single, words) if len(single) >= words else np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=np.uint64)
+    return [whole[a : b - words + 1] if b - a >= words else _combined(single[a:b], b - a) if b > a else none for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def combined_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    return many_combined_hashes([text], words)[0]
+
+
+def _held(part: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """combined_hashes of every text of an Arrow array, a few texts at a time."""
+    held, size = [], 0
+    for text in part:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= HASHED_BYTES:
+            yield from many_combined_hashes(held, words)
+            held, size = [], 0
+    yield from many_combined_hashes(held, words)
 
 
 def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY) -> np.ndarray:
@@ -227,8 +280,7 @@ def _common(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            found = [np.unique(combined_hashes(t, words)).view(np.int64) for t in part.to_pylist()]
-            yield _lists(found)
+            yield _lists([np.unique(h).view(np.int64) for h in _held(part, words)])
 
     run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(F.col(text_col).alias("text")).distinct()
@@ -250,8 +302,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, least: fl
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             fps, names, sizes, heads = [], [], [], []
-            for text in part:
-                hashes = combined_hashes(text.as_py(), words)
+            for hashes in _held(part, words):
                 fps.append(_majority(hashes))
                 found = np.unique(hashes)
                 names.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
@@ -271,11 +322,13 @@ def text_key(text_col: str) -> Column:
 
 def _shared(sets: DataFrame) -> DataFrame:
     """The prefixes' shingles that more sets than one have in theirs: shingle, sid, n, at (place in the prefix), prev (the
-    shingle before), with the number of those sets and the head, the set that has the shingle first in its prefix."""
+    shingle before), with the number of those sets."""
     parts = F.expr("transform(prefix, (x, i) -> struct(x as shingle, i as at, if(i = 0, null, prefix[i - 1]) as prev))")
-    held = sets.select("sid", "n", F.explode(parts).alias("p")).select("sid", "n", "p.*")
-    counts = held.groupBy("shingle").agg(F.count("*").alias("sets"), F.min(F.struct("at", "sid", "n")).alias("head")).where("sets > 1")
-    return held.join(counts, "shingle")
+    both = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p.at").cast("long"))  # one number less to shuffle
+    held = sets.select("sid", "n", F.explode(parts).alias("p")).select("sid", both.alias("both"), "p.shingle", "p.prev")
+    counts = sets.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    found = held.join(counts, "shingle")
+    return found.select("shingle", "sid", F.shiftright("both", 32).cast("int").alias("n"), F.col("both").cast("long").bitwiseAND((1 << 32) - 1).cast("int").alias("at"), "prev", "sets")
 
 
 def _possible(a: str, b: str, least: float) -> Column:
@@ -301,10 +354,12 @@ def _paired(held: DataFrame, least: float, *more: str, apart: Column | None = No
 
 
 def _candidates(shared: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of sids to compare first: all of shingles in BUCKET sets or fewer, and those with the head of others."""
-    head = F.struct(F.col("head.n").alias("n"), F.col("head.at").alias("at"), F.col("head.sid").alias("sid"))
-    large = shared.where(F.col("sets") > BUCKET).select(F.struct("n", "at", "sid").alias("x"), head.alias("y"))
-    heads = large.where((F.col("x.sid") != F.col("y.sid")) & _possible("x", "y", least))
+    """Pairs (a, b) of sids to compare first: all of shingles in BUCKET sets or fewer, and those with the head of others,
+    the set that has the shingle first in its prefix."""
+    large = shared.where(F.col("sets") > BUCKET)
+    heads = large.groupBy("shingle").agg(F.min(F.struct("at", "sid", "n")).alias("y"))
+    heads = large.join(heads, "shingle").select(F.struct("n", "at", "sid").alias("x"), "y")
+    heads = heads.where((F.col("x.sid") != F.col("y.sid")) & _possible("x", "y", least))
     heads = heads.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
     return _paired(shared.where(F.col("sets") <= BUCKET), least).union(heads).distinct()
 
@@ -331,7 +386,7 @@ def _sets_of(wanted: DataFrame, sets: DataFrame, nodes: DataFrame, docs: DataFra
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield pa.array([np.unique(combined_hashes(t.as_py(), words)).tobytes() for t in part], type=pa.binary())
+            yield pa.array([np.unique(h).tobytes() for h in _held(part, words)], type=pa.binary())
 
     run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return materialize(one.select("sid", F.arrow_udf(run, "binary")("text").alias("hashes")), "near-hashes")
