@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,29 @@ def drop_table(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete materialize()d tables that no later plan reads, and let Spark's cleaner drop shuffle files of finished plans.
+
+    Spark cleans up behind objects that the driver has collected, which a busy driver may do after hours only.
+    """
+    for df in tables:
+        drop_table(df)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Rows of an Arrow batch. Texts may be long, and both a batch and what is made of it are in memory at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of the session to BATCH_ROWS rows, unless it has a smaller bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

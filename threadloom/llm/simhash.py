@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize
+from threadloom.llm.common import materialize, release, small_batches
 from threadloom.llm.components import components
 
 DISTANCE = 2
@@ -150,7 +150,7 @@ SIMILARITY = 0.8
 SAMPLE = 16  # one text of so many, by hash, tells which shingles are common
 COMMON = 1 << 18
 BLOCK = 256  # sets on either side of a comparison of crowded shingles' pairs
-HASHED_BYTES = 1 << 20  # bytes of texts that are hashed together, about
+HASHED_BYTES = 1 << 18  # bytes of texts that are hashed together, about
 _EPS = 1e-9
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POINT = 0x5851F42D4C957F2D
@@ -480,15 +480,23 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts of one shingle set are compared as one. Crowded shingles compare each set with one of theirs first; pairs in
     them that are in one component by then need no comparison, all others get theirs.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = materialize(_sketches(docs, id_col, text_col, words, least), "near-sketches")
+    repeats = not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
     nodes = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("set").alias("set"), F.min("doc_id").alias("id")), "near-nodes")
-    sets = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("key").alias("key"))
-    sets = materialize(sets.withColumn("sid", F.monotonically_increasing_id()), "near-sets")
-    shared = materialize(_shared(sets), "near-shared")
+    full = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("key").alias("key"))
+    full = materialize(full.withColumn("sid", F.monotonically_increasing_id()), "near-full")
+    sets = materialize(full.select("sid", "set", "key"), "near-sets")
+    shared = materialize(_shared(full), "near-shared")
+    release(spark, rows, full)
     pairs = materialize(_candidates(shared, least), "near-candidates")
     crowded = shared.where(F.col("sets") > BUCKET).select("sid")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(crowded)
     hashes = _sets_of(wanted, sets, nodes, docs, id_col, text_col, words)
+    release(spark)
+    close = _close(pairs, hashes, least)
+    release(spark)
 
     # Edges between sets: of equal fingerprints, of fingerprints within DISTANCE bits, of similar texts.
     prints = nodes.join(sets.select("set", "sid"), "set").select("fp", "sid").distinct()
@@ -496,11 +504,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_print = prints.join(firsts.where("sids > 1"), "fp").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
     ends = firsts.select("fp", "first")
     by_bits = links(ends.select("fp")).join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    reach = components(by_print.union(by_bits).union(_close(pairs, hashes, least)))
+    reach = components(by_print.union(by_bits).union(close))
     roots = materialize(_rooted(sets, reach), "near-roots")
 
     rest = _remaining(shared, roots, least).join(pairs, ["a", "b"], "left_anti")
     more = _linked(rest, hashes, least)
+    release(spark, hashes, shared, pairs)
     if not more.isEmpty():
         more = more.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         joined = components(more).toDF("old", "new")
@@ -509,6 +518,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("c"))
     chosen = materialize(chosen.select(F.col("c.id").alias("_id"), F.col("c.key").alias("_key")), "near-chosen")
     kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key")), "left_semi")
-    if rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col, text_col])
+    return kept.dropDuplicates([id_col, text_col]) if repeats else kept
