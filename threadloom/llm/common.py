@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,12 +47,15 @@ def drop_table(df: DataFrame) -> None:
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete materialize()d tables that no later plan reads, and let Spark's cleaner drop shuffle files of finished plans.
 
-    Spark cleans up behind objects that the driver has collected, which a busy driver may do after hours only.
+    Spark cleans up behind objects that the driver has collected, which a busy driver may do after hours only. Python's
+    references to them end in the background, so a second round finds what the first one let go.
     """
     for df in tables:
         drop_table(df)
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark._jvm.System.gc()
 
 
 #: Rows of an Arrow batch. Texts may be long, and both a batch and what is made of it are in memory at once.

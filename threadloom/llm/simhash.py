@@ -508,6 +508,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = materialize(_rooted(sets, reach), "near-roots")
 
     rest = _remaining(shared, roots, least).join(pairs, ["a", "b"], "left_anti")
+    release(spark)
     more = _linked(rest, hashes, least)
     release(spark, hashes, shared, pairs)
     if not more.isEmpty():
