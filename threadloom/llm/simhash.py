@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # texts at the threshold or above share one of the first n - ceil(threshold * n) + 1 of each. The bounds that follow from
 # both sizes and from the places of the first shared shingle hold for every such pair, too; what passes them is compared
 # on whole sets. Any order is right. Ours has shingles that are common in a sample of texts last, as they pair up the most.
-# Links of DISTANCE bits found by pigeonring count as well.
+# Pairs that pigeonring finds are compared as well: within DISTANCE bits, texts of one template may be less alike.
 #
 # A shingle of this part is its words' 64-bit polynomial hashes combined into 64 bits, so that a block of texts costs a few
 # vector operations over its bytes.
@@ -354,8 +354,8 @@ def _paired(held: DataFrame, least: float, *more: str, apart: Column | None = No
 
 
 def _candidates(shared: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of sids to compare first: all of shingles in BUCKET sets or fewer, and those with the head of others,
-    the set that has the shingle first in its prefix."""
+    """Pairs (a, b) of sids, a < b, to compare first: all of shingles in BUCKET sets or fewer, and those with the head of
+    others, the set that has the shingle first in its prefix."""
     large = shared.where(F.col("sets") > BUCKET)
     heads = large.groupBy("shingle").agg(F.min(F.struct("at", "sid", "n")).alias("y"))
     heads = large.join(heads, "shingle").select(F.struct("n", "at", "sid").alias("x"), "y")
@@ -473,12 +473,12 @@ def _rooted(ids: DataFrame, reach: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the least id (null ids last), then text hash.
 
-    Groups are the components over equal texts, fingerprints (of `words`-word shingles) within DISTANCE bits, and texts
-    of similarity `least` or more, all of them. Null and empty texts are equal texts. Equal rows leave one. All columns
-    are kept.
+    Groups are the components over equal texts and all pairs of similarity `least` or more (of `words`-word shingles).
+    Null and empty texts are equal texts. Equal rows leave one. All columns are kept.
 
-    Texts of one shingle set are compared as one. Crowded shingles compare each set with one of theirs first; pairs in
-    them that are in one component by then need no comparison, all others get theirs.
+    Texts of one shingle set are compared as one. Candidates are sets whose fingerprints are within DISTANCE bits and sets
+    that share a shingle of their prefixes. Crowded shingles compare each set with one of theirs first; pairs in them that
+    are in one component by then need no comparison, all others get theirs.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -490,7 +490,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialize(full.select("sid", "set", "key"), "near-sets")
     shared = materialize(_shared(full), "near-shared")
     release(spark, rows, full)
-    pairs = materialize(_candidates(shared, least), "near-candidates")
+
+    # Candidates by fingerprint: equal ones meet one of theirs, different ones those within DISTANCE bits.
+    prints = nodes.join(sets.select("set", "sid"), "set").select("fp", "sid").distinct()
+    firsts = materialize(prints.groupBy("fp").agg(F.min("sid").alias("first"), F.count("*").alias("sids")), "near-prints")
+    by_print = prints.join(firsts.where("sids > 1"), "fp").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    ends = firsts.select("fp", "first")
+    by_bits = links(ends.select("fp")).join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = materialize(_candidates(shared, least).union(by_print).union(by_bits).distinct(), "near-candidates")
     crowded = shared.where(F.col("sets") > BUCKET).select("sid")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(crowded)
     hashes = _sets_of(wanted, sets, nodes, docs, id_col, text_col, words)
@@ -498,13 +505,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     close = _close(pairs, hashes, least)
     release(spark)
 
-    # Edges between sets: of equal fingerprints, of fingerprints within DISTANCE bits, of similar texts.
-    prints = nodes.join(sets.select("set", "sid"), "set").select("fp", "sid").distinct()
-    firsts = materialize(prints.groupBy("fp").agg(F.min("sid").alias("first"), F.count("*").alias("sids")), "near-prints")
-    by_print = prints.join(firsts.where("sids > 1"), "fp").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
-    ends = firsts.select("fp", "first")
-    by_bits = links(ends.select("fp")).join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    reach = components(by_print.union(by_bits).union(close))
+    reach = components(close)
     roots = materialize(_rooted(sets, reach), "near-roots")
 
     rest = _remaining(shared, roots, least).join(pairs, ["a", "b"], "left_anti")
