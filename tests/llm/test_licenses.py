@@ -58,8 +58,47 @@ def test_notices_are_found(spark):
 def test_prefilter_never_hides_a_match():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     rng = random.Random(5)
-    for name, _, template, _, held in scanner.templates:
+    for name, _, template, held in scanner.templates:
         for _ in range(50):
             kept = [w for w in template if rng.random() > 0.1]
             if len(licenses.align(template, kept)) >= 0.8 * len(template):
                 assert any(w in kept for w in held), name
+
+
+def test_occurrence_before_half_of_another():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    rng = random.Random(6)
+    for name, _, template, _ in scanner.templates:
+        n = len(template)
+        for front in ([], ["river", "stone"] * 10):
+            for _ in range(20):
+                gone = set(rng.sample(range(n), int(n * 0.2)))
+                edited = [w for i, w in enumerate(template) if i not in gone]
+                alone = scanner.occurrences(template, edited)
+                assert len(alone) == 1 and alone[0][0] == n - len(gone), name
+                got = scanner.occurrences(template, front + edited + template[: n // 2])
+                assert len(got) == 1 and got[0][0] >= 0.8 * n and got[0][1] >= len(front), name
+                two = scanner.occurrences(template, front + edited + template)
+                assert len(two) == 2 and two[1] == (n, len(front) + len(edited), len(front) + len(edited) + n - 1), name
+
+
+@given(st.lists(st.sampled_from([*"abcdefgh", "abcde", "fgh", "abcdefghij", "xy"]), max_size=12), st.sampled_from([0.6, 0.8, 1.0]))
+@settings(max_examples=200, deadline=None)
+def test_occurrences_against_every_place(pieces, least):
+    """Every window that covers the template overlaps an occurrence; occurrences cover it and differ in place."""
+    template, doc = list("abcdefghij"), list("".join(pieces))
+    got = licenses.Scanner({"t": ("T", " ".join(template))}, least).occurrences(template, doc)
+    need, width = least * 10 - 1e-9, 10 + int(10 * (1 - least)) + 1
+    for at in range(len(doc)):
+        for end in range(at, min(len(doc), at + width) + 1):
+            pairs = licenses.align(template, doc[at:end])
+            if len(pairs) >= need:
+                assert any(a <= at + pairs[-1][1] and at + pairs[0][1] <= b for _, a, b in got)
+    for pairs, a, b in got:
+        assert need <= pairs <= len(licenses.align(template, doc[a : b + 1])) + 1
+    assert [a for _, a, _ in got] == sorted({a for _, a, _ in got})
+
+
+def test_many_occurrences_take_linear_time():
+    line = licenses.TEMPLATES["mit-line"][1]
+    assert len(licenses.Scanner(licenses.TEMPLATES).scan(f"{line}\n" * 20_000)) == 20_000

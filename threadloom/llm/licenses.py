@@ -3,7 +3,7 @@
 A text's words are aligned with a license template's: words that occur once in both are anchors, their longest
 increasing subsequence is kept, and the gaps between anchors are aligned the same way. Coverage is the share of the
 template's words that found a partner. Texts are whole; where a template may stand in a long text is found first, by
-the places that hold enough of its words, so that words are unique there again and every occurrence counts.
+the places that enough of its words follow, so that words are unique there again and every occurrence counts.
 """
 
 from __future__ import annotations
@@ -50,6 +50,7 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     ),
 }
 LEAST = 0.8
+MEMORY = 4096  # different windows of a text whose alignment is remembered
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
@@ -120,46 +121,77 @@ class Scanner:
                 held.append(w)
                 if sum(found.count(x) for x in held) > spare:
                     break
-            self.templates.append((name, family, found, frozenset(found), held))
-
-    def places(self, hits: np.ndarray, n: int) -> list[tuple[int, int]]:
-        """Word ranges where a template of n words may stand: the fullest ranges first, each half a template apart."""
-        need = self.least * n
-        total = np.concatenate([[0], np.cumsum(hits)])
-        width = min(len(hits), n + int(n * (1 - self.least)) + 1)
-        counts = total[width:] - total[:-width]
-        out = []
-        live = counts >= need
-        while live.any():
-            at = int(np.argmax(np.where(live, counts, -1)))
-            out.append((max(0, at - 2), min(len(hits), at + width + 2)))
-            live[max(0, at - n // 2) : at + n // 2 + 1] = False
-        return sorted(out)
+            self.templates.append((name, family, found, held))
+
+    def occurrences(self, template: list[str], doc: list[str]) -> list[tuple[int, int, int]]:
+        """(pairs, first word, last word) of every occurrence of the template, by place.
+
+        An occurrence starts at a word of the template and takes up to a fifth (1 - least) more words than the template
+        has. Starts are aligned only where enough of the template's words, repeats counted, follow. If the longest window
+        falls short, as words of another occurrence after it may, shorter ones are tried. Two that overlap by half of
+        the shorter or more are one: that of more pairs, then fewer words, counts; words that it frees are searched again.
+        """
+        n = len(template)
+        need, width = int(np.ceil(self.least * n - 1e-9)), n + int(n * (1 - self.least)) + 1
+        want, have, bag, ahead = Counter(template), Counter(), 0, 0
+        spots = [i for i, w in enumerate(doc) if w in want]
+        known: dict[tuple[str, ...], tuple[int, int, int] | None] = {}
+
+        def aligned(at: int, end: int) -> tuple[int, int, int] | None:
+            window = tuple(doc[at:end])
+            if window not in known:
+                if len(known) >= MEMORY:
+                    known.clear()
+                pairs = align(template, list(window))
+                known[window] = (len(pairs), pairs[0][1], pairs[-1][1]) if len(pairs) >= need else None
+            found = known[window]
+            return found and (found[0], at + found[1], at + found[2])
+
+        def shorter(k: int, stop: int) -> tuple[int, int, int] | None:
+            seen, held = Counter(), 0
+            for i in spots[k:stop]:
+                seen[doc[i]] += 1
+                held += seen[doc[i]] <= want[doc[i]]
+                if held >= need and (found := aligned(spots[k], i + 1)):
+                    return found
+            return None
+
+        out: list[tuple[int, int, int]] = []
+        freed: list[tuple[int, int]] = []
+        for k, at in enumerate(spots):
+            while ahead < len(spots) and spots[ahead] < at + width:
+                have[doc[spots[ahead]]] += 1
+                bag += have[doc[spots[ahead]]] <= want[doc[spots[ahead]]]
+                ahead += 1
+            done = out and out[-1][0] == out[-1][2] - out[-1][1] + 1 == n and 2 * (at - out[-1][1]) <= n
+            found = None if bag < need or done else aligned(at, at + width) or shorter(k, ahead)
+            if found and out and 2 * (out[-1][2] + 1 - found[1]) >= min(out[-1][2] - out[-1][1], found[2] - found[1]) + 1:
+                old, out[-1] = out[-1], max(out[-1], found, key=lambda m: (m[0], m[1] - m[2], -m[1]))
+                freed.append((max(old[1], out[-2][2] + 1 if len(out) > 1 else 0), out[-1][1]))
+            elif found:
+                out.append(found)
+            bag -= have[doc[at]] <= want[doc[at]]
+            have[doc[at]] -= 1
+        for low, high in freed:
+            if high - low >= need:
+                out += [(pairs, low + a, low + b) for pairs, a, b in self.occurrences(template, doc[low:high])]
+        return sorted(out, key=lambda m: m[1])
 
     def scan(self, text: str | None) -> list[dict]:
-        """Matches (name, family, coverage, start, end) in code points, by start; overlapping ones of a template once."""
+        """Matches (name, family, coverage, start, end) in code points, by start."""
         if not text:
             return []
         low = text.lower()
-        wanted = [t for t in self.templates if any(w in low for w in t[4])]
+        wanted = [t for t in self.templates if any(w in low for w in t[3])]
         if not wanted:
             return []
         found = words_of(text)
         doc = [w for w, _, _ in found]
         out = []
-        for name, family, template, vocabulary, _ in wanted:
-            hits = np.fromiter((w in vocabulary for w in doc), dtype=bool, count=len(doc))
-            last = -1
-            best = []
-            for a, b in self.places(hits, len(template)):
-                pairs = align(template, doc[a:b])
-                coverage = len(pairs) / len(template)
-                if coverage >= self.least:
-                    best.append((coverage, found[a + pairs[0][1]][1], found[a + pairs[-1][1]][2]))
-            for coverage, start, end in sorted(best, key=lambda m: (m[1], -m[0])):
-                if start >= last:
-                    out.append({"name": name, "family": family, "coverage": round(coverage, 6), "start": start, "end": end})
-                    last = end
+        for name, family, template, _ in wanted:
+            for pairs, a, b in self.occurrences(template, doc):
+                coverage = round(pairs / len(template), 6)
+                out.append({"name": name, "family": family, "coverage": coverage, "start": found[a][1], "end": found[b][2]})
         return sorted(out, key=lambda m: (m["start"], m["end"], m["name"]))
 
 
