@@ -60,6 +60,13 @@ def test_times_ids_and_tags(spark):
     texts = spark.createDataFrame([("<result>a</result> x <result> b \n</result>",), ("x",), (None,)], "t string")
     assert [r[0] for r in texts.select(E.result_tag(F.col("t"))).collect()] == ["b", None, None]
     assert spark.range(1).select(E.word_count(F.lit(" a  b\n"))).first()[0] == 2
+    spaced = ["\u00a0a\u3000b c\u2009d\x1ce ", "", "\u00a0", "é à"]
+    frame = spark.createDataFrame([(t,) for t in [*spaced, None]], "t string")
+    assert [r[0] for r in frame.select(E.word_count(F.col("t"))).collect()] == [*(len(t.split()) for t in spaced), None]
+    assert spark.range(1).select(E.result_tag(F.lit("<result>\u00a0b\u3000c\x1f\n</result>"))).first()[0] == "b\u3000c"
+    far = spark.createDataFrame([("99999999999999999",), ("-99999999999999999",), ("253402300800",), ("253402300799",), ("1" * 30,)], "t string")
+    assert [r[0] for r in far.select(E.epoch_text(F.col("t"))).collect()] == ["[invalid_time]"] * 3 + ["31-12-9999 23:59", "[invalid_time]"]
+    assert far.where(E.epoch_timestamp(F.col("t")).isNull()).count() == 4
     assert spark.range(1).select(E.replace_all(F.lit("AB A"), {"A": "x", "AB": "y"})).first()[0] == "y x"
     assert spark.range(1).select(E.safe_name(F.lit("a/b é-1"))).first()[0] == "a_b_é_1"
     assert spark.range(1).select(E.normalised(F.array(F.lit(3.0), F.lit(4.0)))).first()[0] == [0.6, 0.8]

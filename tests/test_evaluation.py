@@ -53,6 +53,7 @@ def test_task_inputs():
         ("", None),
         (None, None),
         ("[1, 2", [1, 2]),
+        ('{"a": "see ```json\\n{}\\n```"}', {"a": "see ```json\n{}\n```"}),
     ],
 )
 def test_repair(text, value):

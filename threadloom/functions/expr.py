@@ -11,6 +11,11 @@ DELETED = "[deleted]"
 AUTO_MODERATOR = "AutoModerator"
 SUBJECT = "SUBJECT"
 
+#: White space as Python's str.split and str.strip know it.
+_SPACE = r"\s\x1C-\x1F"
+#: Seconds of the years 1 to 9999.
+_SECONDS = (-62_135_596_800, 253_402_300_799)
+
 
 def to_long(value: Column) -> Column:
     """Text to integer; what is no integer becomes null instead of an error."""
@@ -18,17 +23,15 @@ def to_long(value: Column) -> Column:
 
 
 def epoch_timestamp(seconds: Column) -> Column:
-    return F.timestamp_seconds(to_long(seconds.cast("string")))
+    """Epoch seconds, text or number, as a timestamp; null for what is no integer or not within the years 1 to 9999."""
+    number = to_long(seconds.cast("string"))
+    return F.timestamp_seconds(F.when(number.between(*_SECONDS), number))
 
 
 def epoch_text(seconds: Column) -> Column:
-    """Epoch seconds as dd-MM-yyyy HH:mm; [unknown_time] for null, [invalid_time] for what is no integer."""
-    number = to_long(seconds.cast("string"))
-    return (
-        F.when(seconds.isNull(), F.lit("[unknown_time]"))
-        .when(number.isNull(), F.lit("[invalid_time]"))
-        .otherwise(F.date_format(F.timestamp_seconds(number), "dd-MM-yyyy HH:mm"))
-    )
+    """Epoch seconds as dd-MM-yyyy HH:mm; [unknown_time] for null, [invalid_time] where there is no such time."""
+    shown = F.coalesce(F.date_format(epoch_timestamp(seconds), "dd-MM-yyyy HH:mm"), F.lit("[invalid_time]"))
+    return F.when(seconds.isNull(), F.lit("[unknown_time]")).otherwise(shown)
 
 
 def approx_tokens(text: Column) -> Column:
@@ -38,8 +41,7 @@ def approx_tokens(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between runs of white space."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(text.isNull(), None).when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+    return F.regexp_count(text, F.lit(f"(?U)[^{_SPACE}]+"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -96,7 +98,7 @@ def is_target(author: Column) -> Column:
 def result_tag(text: Column) -> Column:
     """The last <result>...</result> in a text, trimmed of white space; null without one."""
     found = F.regexp_extract_all(text, F.lit(r"(?s)<result>(.*?)</result>"), F.lit(1))
-    return F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.try_element_at(found, F.lit(-1)), f"(?U)^[{_SPACE}]+|[{_SPACE}]+$", "")
 
 
 def json_keys(text: Column) -> Column:

@@ -29,6 +29,10 @@ def repaired(text: str | None):
     if not text or not text.strip():
         return None
     text = text.strip()
+    try:
+        return json.loads(text)  # its strings may hold fences
+    except ValueError:
+        pass
     if fenced := _FENCE.findall(text):
         text = fenced[-1].strip()
     try:
