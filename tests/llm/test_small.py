@@ -625,3 +625,22 @@ def test_held_out_accuracy_on_the_real_table(spark):
     got = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'")
     right, n = got.selectExpr("sum(int(lang = lang_pred))", "count(*)").first()
     assert n > 20 and right >= 0.97 * n
+
+
+def test_repeated_windows_against_brute_force():
+    rng = np.random.default_rng(1)
+    ctx = rng.integers(97, 101, size=(40, suffixes.CONTEXT)).astype(np.uint8)[rng.integers(0, 40, 300)]
+    for i in range(0, 300, 2):
+        ctx[i, rng.integers(0, suffixes.CONTEXT)] = 120
+    order, off = rng.integers(0, 60, 300), np.arange(300) * 500 + suffixes.SIDE
+    before, after = (rng.integers(0, suffixes.SIDE + 1, 300) for _ in range(2))
+    ranges = suffixes._repeated_windows(np.full(300, 7), order, off, before, after, ctx)
+    got = {(n, at) for n, low, high in zip(*map(list, ranges), strict=True) for at in range(low, high - suffixes.LENGTH + 1)}
+    seen, want = set(), set()
+    for i in np.lexsort((off, order)):
+        for c in range(suffixes.SIDE - before[i], after[i] + 1):
+            string = (c, ctx[i, c : c + suffixes.LENGTH].tobytes())
+            if string in seen:
+                want.add((order[i], off[i] - suffixes.SIDE + c))
+            seen.add(string)
+    assert got == want and want

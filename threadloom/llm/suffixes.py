@@ -271,6 +271,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["token", "ord", "off", "before", "after", "ctx"])
 
 
+def _second(ctx: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """A second, independent hash of the strings at (row, col): each byte's place in the table is another."""
+    turned = _sums(255 - ctx)
+    _, down = _Powers.reach(CONTEXT + 1)
+    return _mix((turned[row, col + LENGTH] - turned[row, col]) * down[col])
+
+
 def _repeated_windows(token, order, off, before, after, ctx) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of all strings around suffixes that an earlier suffix with the same first token has too."""
     m, starts = len(token), np.arange(SIDE + 1)
@@ -284,9 +291,14 @@ def _repeated_windows(token, order, off, before, after, ctx) -> tuple[np.ndarray
     rank[np.lexsort((off, order))] = np.arange(m)
     row, col = np.nonzero(valid)
     key = keys[row, col]
-    by = np.lexsort((rank[row], key))
+    by = np.argsort(key)
+    equal = np.concatenate([[False], key[by[1:]] == key[by[:-1]], [False]])
+    shared = np.sort(by[equal[1:] | equal[:-1]]) if len(by) else by
+    row, col, key = row[shared], col[shared], key[shared]
+    second = _second(ctx, row, col)  # only strings whose first hash is shared need it
+    by = np.lexsort((rank[row], second, key))
     later = np.zeros(len(key), dtype=bool)
-    later[by[1:]] = key[by[1:]] == key[by[:-1]]
+    later[by[1:]] = (key[by[1:]] == key[by[:-1]]) & (second[by[1:]] == second[by[:-1]])
     hit = np.zeros((m, SIDE + 3), dtype=np.int8)
     hit[row[later], col[later] + 1] = 1
     change = np.diff(hit, axis=1)
@@ -336,8 +348,7 @@ def _window_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
         _, down = _Powers.reach(CONTEXT + 1)
         strings = (sums[:, LENGTH : LENGTH + SIDE + 1] - sums[:, : SIDE + 1]) * down[: SIDE + 1]
         row, col = np.nonzero((starts >= SIDE - before[:, None]) & (starts <= after[:, None]))
-        turned = _sums(255 - ctx)  # a second, independent hash: each byte's place in the table is another
-        second = _mix((turned[row, col + LENGTH] - turned[row, col]) * down[col])
+        second = _second(ctx, row, col)
         zero = np.zeros(len(row), dtype=np.int64)
         yield Run(_mix(strings[row, col]), second, order[row], off[row] - SIDE + col, zero, zero + SIDE)
 
