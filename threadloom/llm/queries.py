@@ -17,6 +17,7 @@ from threadloom.llm.secrets import find_secrets
 from threadloom.llm.sharding import ROUNDS, round_keys, shard_documents
 from threadloom.llm.simhash import near_duplicates
 from threadloom.llm.suffixes import remove_repeats
+from threadloom.llm.tries import rebuilt_trie
 from threadloom.llm.warc import read_warc, write_warc
 
 
@@ -64,6 +65,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_merkle": op9_merkle,
     "op10_language": op10_language,
+    "op13_prefixes": op13_prefixes,
 }
 SEED = 20240601
 
@@ -195,4 +201,44 @@ ORACLES: dict[str, str] = {
                 ELSE 2.0::DOUBLE * len(list_intersect(l0, l2)) / (len(l0) + len(l2)) END AS near_next
         FROM g
     """,
+    "op13_prefixes": r"""
+        WITH tbl AS (
+            SELECT list(c ORDER BY i) AS tbl FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+                FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+            )
+        ), t AS (
+            SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS turn_key
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(turn_key)) - 1 AS place FROM t
+        ), convs AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(CAST(conv_id AS VARCHAR), '.'),
+                lambda x: CAST(ord(x) AS BIGINT))), lambda c, x: xor(c >> 8, tbl[1 + (xor(c, x) & 255)])), 4294967295) % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM t), tbl
+        ), both_ AS (
+            SELECT c.conv_id, place, turn_key, text FROM convs c JOIN own ON own.conv_id = c.base WHERE place < h
+            UNION ALL SELECT conv_id, place, turn_key, text FROM convs JOIN own USING (conv_id) WHERE place >= h
+        ), seq AS (
+            SELECT conv_id, row_number() OVER w AS depth, list(turn_key) OVER w AS path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+            FROM both_ WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+        ), steps AS (
+            SELECT conv_id, 0 AS depth, CAST([] AS VARCHAR[]) AS path, 0 AS words FROM convs UNION ALL SELECT * FROM seq
+        ), ends AS (
+            SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+            FROM (SELECT conv_id, max_by(path, depth) AS path FROM steps GROUP BY conv_id) GROUP BY path
+        ), nodes AS (
+            SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM steps GROUP BY path
+        ), kids AS (
+            SELECT path[1 : depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+        ), marked AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (path)
+        ), below AS (
+            SELECT path[1 : d] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * words) AS saved
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM marked) GROUP BY 1
+        )
+        SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, CASE WHEN m.depth > 0 THEN p.conv_id END AS parent_conv_id, m.n AS n_convs,
+            CAST(m.n_children AS BIGINT) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM marked m JOIN below USING (path) LEFT JOIN nodes p ON p.path = m.path[1 : m.depth - 1] AND m.depth > 0 LEFT JOIN ends ON ends.path = m.path
+    """,
 }
