@@ -18,7 +18,9 @@ from threadloom.llm.sharding import ROUNDS, round_keys, shard_documents
 from threadloom.llm.simhash import near_duplicates
 from threadloom.llm.suffixes import remove_repeats
 from threadloom.llm.tries import rebuilt_trie
+from threadloom.llm.urlfilter import judge_urls
 from threadloom.llm.warc import read_warc, write_warc
+from threadloom.llm.whitening import by_component, whiten
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +67,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(whiten(read(spark, sf_dir, "embeddings")))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(read(spark, sf_dir, "conversations"))
 
@@ -80,9 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_merkle": op9_merkle,
     "op10_language": op10_language,
+    "op11_whitening": op11_whitening,
+    "op12_urls": op12_urls,
     "op13_prefixes": op13_prefixes,
 }
 SEED = 20240601
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 ORACLES: dict[str, str] = {
     "op2_sharding": f"""
@@ -201,6 +214,21 @@ ORACLES: dict[str, str] = {
                 ELSE 2.0::DOUBLE * len(list_intersect(l0, l2)) / (len(l0) + len(l2)) END AS near_next
         FROM g
     """,
+    "op12_urls": f"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, row_number() OVER () AS place, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM u
+        ), r AS (
+            SELECT * FROM (VALUES {", ".join(map(str, URL_RULES))}) v(h, p, verdict)
+        ), b AS (
+            SELECT place, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+            FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY place
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (place)
+    """,
     "op13_prefixes": r"""
         WITH tbl AS (
             SELECT list(c ORDER BY i) AS tbl FROM (
