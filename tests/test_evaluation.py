@@ -169,3 +169,13 @@ def test_command_line(spark, tmp_path):
         path = cli.evaluate(cli.parser().parse_args([command, "--models", models, *common]), StubClient(stub_answer))
         assert (tmp_path / path).exists()
     assert spark.read.parquet(path).select("run_id").distinct().count() == 2
+
+
+def test_masks_beyond_the_alphabet(spark):
+    from threadloom.plans.judging import masks
+
+    rows = spark.createDataFrame([(1, f"m{i}", True) for i in range(60)], "sample_id long, model string, valid boolean")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    expected = [*letters, *(f"A{c}" for c in letters), *(f"B{c}" for c in letters[:8])]
+    got = {r.mask for r in masks(rows, 3).collect()}
+    assert got == {f"MODEL_{c}" for c in expected}

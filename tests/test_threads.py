@@ -2,8 +2,6 @@ import json
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from threadloom.operators import threads
 
@@ -104,26 +102,49 @@ def test_missing_columns_are_named(spark):
         threads.contexts(comments.drop("body"), subs, users)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(-2, 12), min_size=1, max_size=12), st.randoms())
-def test_nest_places_every_row_once(parents, rng):
-    rows = [
-        {"id": f"n{i}", "parent": f"n{p}" if p >= 0 else None, "root": p == -1, "at": i % 4, "user": "u", "time": "t", "content": f"n{i}"}
-        for i, p in enumerate(parents)
-    ]
-    shuffled = random.Random(rng.random()).sample(rows, len(rows))
-    seen, order = [], {r["id"]: (r["at"], r["id"]) for r in rows}
-
-    def walk(nodes):
-        for n in nodes:
-            seen.append(n["content"])
-            places = [order[c["content"]] for c in n["replies"]]
-            assert places == sorted(places)
-            walk(n["replies"])
-
-    tree = threads.nest([dict(r) for r in rows])
-    walk(tree)
-    assert sorted(seen) == sorted(order)
-    assert tree == threads.nest(shuffled)
-    wrapped = {"user": "é\n", "time": "t", "content": '"', "replies": tree}
-    assert threads.dump(wrapped) == json.dumps([wrapped], indent=2)
+def by_hand(rows, user="alice"):
+    """Nested nodes of (id, parent id or None for a top-level row, at, author, content)."""
+    rows = sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0]))
+    time = lambda at: "[unknown_time]" if at is None else f"01-01-1970 00:{at // 60:02}"
+    nodes = {r[0]: {"user": "SUBJECT" if r[3] == user else r[3], "time": time(r[2]), "content": r[4], "replies": []} for r in rows}
+    reached, todo = [], [r[0] for r in rows if r[1] is None]
+    for i in todo:
+        reached.append(i)
+        below = [r[0] for r in rows if r[1] == i]
+        nodes[i]["replies"] = [nodes[c] for c in below]
+        todo += below
+    return [nodes[r[0]] for r in rows if r[1] is None] + [nodes[r[0]] for r in rows if r[0] not in reached]
+
+
+TEXTS = ["plain", "", 'q"b\\s', "é\n\r\t\b\f\x00\x1f\x7f", "😀 ü\u2028", None]
+
+
+def test_random_forests_against_dictionaries(spark):
+    """Threads with orphans, cycles, ties and any characters: all comments are the user's, so all are in the context."""
+    rng, comments, wanted = random.Random(4), [], {}
+    for t in range(60):
+        n, held = rng.randint(1, 14), []
+        for i in range(n):
+            parent = rng.choice([None, *(f"n{j}" for j in range(-1, n))]) if rng.random() < 0.6 else None
+            at, text = rng.choice([None, 5, 70, 130]), rng.choice(TEXTS)
+            held.append((f"n{i}", parent, at, "alice", text or ""))
+            comments.append((f"n{i}", "alice", f"t3_{t}", "t3_x" if parent is None else f"t1_{parent}", text, at))
+        wanted[str(t)] = held
+    subs = [(str(t), "r", "Tß", "", True, "alice", 0) for t in wanted]
+    got = {r.submission_id: r for r in threads.contexts(*frames(spark, comments, subs)).collect()}
+    assert set(got) == set(wanted)
+    for t, held in wanted.items():
+        tree = [{"user": "SUBJECT", "time": "01-01-1970 00:00", "content": "Title: Tß\nSubreddit: r", "replies": by_hand(held)}]
+        text = json.loads(got[t].formatted_context)
+        tree[0]["content"] = text[0]["content"]
+        assert got[t].formatted_context == json.dumps(tree, indent=2)
+        assert list(got[t].user_comment_ids) == [r[0] for r in sorted(held, key=lambda r: (r[2] is None, r[2] or 0, r[0]))]
+
+
+def test_layout_places_siblings_across_tasks(spark):
+    rows = [comment("top", "t3_s1", "bob", 0)] + [comment(f"r{i}", "t1_top", "bob", i % 50) for i in range(900)]
+    random.Random(2).shuffle(rows)
+    comments, _, _ = frames(spark, rows)
+    got = {r.id: r.place for r in threads.layout(comments, threads.F.lit("x")).collect()}
+    expected = sorted((i % 50, f"r{i}") for i in range(900))
+    assert [got[i] for _, i in expected] == list(range(900)) and got["top"] == 0

@@ -2,20 +2,18 @@
 
 Closures work on whole tables by path doubling: a jump table holds, for each comment, the ancestor 2**k replies up;
 joining it with itself doubles the reach, so depth d takes log2(d) rounds. Every round is written to the shared folder.
-Only the recursive JSON is built in Python, for each user and thread from the rows that it holds: the user's comments and
-their ancestors, not the thread.
+Contexts hold the user's comments and their ancestors, not the thread; a context is one row, its JSON text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import expr as E
+from threadloom.operators import nested
 from threadloom.operators.authors import keep_first
+from threadloom.operators.ordered import ranked
 from threadloom.schema import CONTEXT_COMMENT_COLUMNS, CONTEXT_SUBMISSION_COLUMNS, USER_CONTEXT, require_columns
 from threadloom.tables import stored
 
@@ -106,63 +104,9 @@ def layout(comments: DataFrame, user: Column) -> DataFrame:
         before, left = left, hops.where("up is not null").count()
     depth = hops.select("link_id", "id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
     rows = unique.join(depth, ["link_id", "id"]).join(edges.withColumnRenamed("up", "parent"), ["link_id", "id"], "left")
-    siblings = rows.groupBy("link_id", "parent").agg(F.array_sort(F.collect_list(F.struct("created_utc", "id"))).alias("_row"))
-    placed = siblings.select("link_id", F.posexplode("_row").alias("place", "_c")).select("link_id", F.col("_c.id").alias("id"), "place")
-    out = rows.join(placed, ["link_id", "id"])
-    return out.select("link_id", "id", "parent", "depth", "place", E.masked_author(F.col("author"), user).alias("user"))
-
-
-# Nested threads of one user and submission.
-
-
-def dump(node: dict) -> str:
-    """One-element JSON list of a node, two spaces of indentation, ASCII alone. Works off a stack: any depth is fine."""
-    import json
-
-    out, pad = ["[\n"], lambda n: "  " * n
-    stack: list = [("node", node, 1, "")]
-    while stack:
-        what, value, level, tail = stack.pop()
-        if what == "text":
-            out.append(value)
-            continue
-        out.append(f"{pad(level)}{{\n")
-        for key in ("user", "time", "content"):
-            out.append(f'{pad(level + 1)}"{key}": {json.dumps(value[key])},\n')
-        replies = value["replies"]
-        if not replies:
-            out.append(f'{pad(level + 1)}"replies": []\n{pad(level)}}}{tail}\n')
-            continue
-        out.append(f'{pad(level + 1)}"replies": [\n')
-        stack.append(("text", f"{pad(level + 1)}]\n{pad(level)}}}{tail}\n", 0, ""))
-        for i, reply in reversed(list(enumerate(replies))):
-            stack.append(("node", reply, level + 2, "," if i < len(replies) - 1 else ""))
-    return "".join(out) + "]"
-
-
-def nest(rows: list[dict]) -> list[dict]:
-    """Top-level nodes of a thread's rows (id, parent, root, at, user, time, content).
-
-    Children hang under their parents in (time, id) order. Roots come first, nested; rows that no root reaches follow
-    flat, each on its own, in the same order.
-    """
-    rows = sorted(rows, key=lambda r: (r["at"] is None, r["at"] or 0, r["id"]))
-    nodes = {r["id"]: {"user": r["user"], "time": r["time"], "content": r["content"], "replies": []} for r in rows}
-    children: dict[str, list[str]] = {}
-    for r in rows:
-        if not r["root"]:
-            children.setdefault(r["parent"], []).append(r["id"])
-    reached, todo = set(), [r["id"] for r in rows if r["root"]]
-    top = [nodes[i] for i in todo]
-    while todo:
-        i = todo.pop()
-        if i in reached:
-            continue
-        reached.add(i)
-        below = [c for c in children.get(i, ()) if c not in reached]
-        nodes[i]["replies"] = [nodes[c] for c in below]
-        todo += below
-    return top + [nodes[r["id"]] for r in rows if r["id"] not in reached]
+    slim = rows.select("link_id", "id", "parent", "depth", "created_utc", E.masked_author(F.col("author"), user).alias("user"))
+    placed = ranked(slim, ["link_id", "parent"], [F.col("created_utc"), F.col("id")])
+    return placed.select("link_id", "id", "parent", "depth", F.col("place").cast("int").alias("place"), "user")
 
 
 def contexts(comments: DataFrame, submissions: DataFrame, users: DataFrame) -> DataFrame:
@@ -174,43 +118,31 @@ def contexts(comments: DataFrame, submissions: DataFrame, users: DataFrame) -> D
     """
     require_columns(comments, CONTEXT_COMMENT_COLUMNS, "comments")
     require_columns(submissions, CONTEXT_SUBMISSION_COLUMNS, "submissions")
-    wanted = relevant(comments, users)
-    unique = keep_first(comments.select(*CONTEXT_COMMENT_COLUMNS), ["link_id", "id"], ["created_utc"])
-    rows = wanted.join(unique, ["link_id", "id"])
-    parent = F.when(E.id_kind(F.col("parent_id")) == "t1", E.id_key(F.col("parent_id")))
+    wanted = stored(relevant(comments, users), "wanted")
+    held = comments.select(*CONTEXT_COMMENT_COLUMNS).join(wanted.select("link_id", "id"), ["link_id", "id"], "left_semi")
+    rows = wanted.join(keep_first(held, ["link_id", "id"], ["created_utc"]), ["link_id", "id"])
     rows = rows.select(
         "user",
         F.substring("link_id", 4, 1 << 30).alias("submission_id"),
-        F.struct(
-            "id",
-            parent.alias("parent"),
-            is_root(F.col("parent_id")).alias("root"),
-            F.col("created_utc").alias("at"),
-            E.masked_author(F.col("author"), F.col("user")).alias("user"),
-            E.epoch_text(F.col("created_utc")).alias("time"),
-            F.coalesce("body", F.lit("")).alias("content"),
-            "own",
-        ).alias("row"),
-    )
-    grouped = rows.groupBy("user", "submission_id").agg(F.collect_list("row").alias("rows"))
-    known = keep_first(submissions.select(*CONTEXT_SUBMISSION_COLUMNS).where(F.col("title").isNotNull()), ["id"], ["created_utc"])
-    heads = known.select(
-        F.col("id").alias("submission_id"),
-        F.col("author").alias("head_author"),
-        E.epoch_text(F.col("created_utc")).alias("head_time"),
-        E.submission_content(F.col("title"), F.coalesce("subreddit", F.lit("")), F.coalesce("selftext", F.lit(""))).alias("head_content"),
+        "id",
+        F.when(E.id_kind(F.col("parent_id")) == "t1", E.id_key(F.col("parent_id"))).alias("parent"),
+        is_root(F.col("parent_id")).alias("root"),
+        F.col("created_utc").alias("at"),
+        E.masked_author(F.col("author"), F.col("user")).alias("who"),
+        F.coalesce("body", F.lit("")).alias("content"),
+        "own",
     )
-    joined = grouped.join(heads, "submission_id").select(
-        "user", "submission_id", "rows", E.masked_author(F.col("head_author"), F.col("user")).alias("head_user"), "head_time", "head_content"
+    in_time = [F.col("at").isNull(), F.col("at"), F.col("id")]
+    listed = nested.labelled(rows, ["user", "submission_id"], "id", "parent", "root", in_time)
+    depth = F.when(F.col("flat"), 1).otherwise(F.size("label")).alias("depth")
+    node = F.struct("flat", "label", depth, nested.opened(depth, F.col("who"), E.epoch_text(F.col("at")), F.col("content")).alias("text"))
+    grouped = listed.groupBy("user", "submission_id").agg(
+        F.transform(F.array_sort(F.collect_list(node)), lambda n: F.struct(n["depth"].alias("depth"), n["text"].alias("text"))).alias("nodes"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("own"), F.struct(*in_time)))), lambda c: c["id"]).alias("user_comment_ids"),
     )
-
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                own = sorted((x for x in r.rows if x["own"]), key=lambda x: (x["at"] is None, x["at"] or 0, x["id"]))
-                head = {"user": r.head_user, "time": r.head_time, "content": r.head_content, "replies": nest(list(r.rows))}
-                out.append((r.user, r.submission_id, dump(head), [x["id"] for x in own]))
-            yield pd.DataFrame(out, columns=[f.name for f in USER_CONTEXT])
-
-    return joined.mapInPandas(build, USER_CONTEXT)
+    known = keep_first(submissions.select(*CONTEXT_SUBMISSION_COLUMNS).where(F.col("title").isNotNull()), ["id"], ["created_utc"])
+    content = E.submission_content(F.col("title"), F.coalesce("subreddit", F.lit("")), F.coalesce("selftext", F.lit("")))
+    heads = known.select(F.col("id").alias("submission_id"), "author", E.epoch_text(F.col("created_utc")).alias("time"), content.alias("content"))
+    whole = grouped.join(heads, "submission_id")
+    head = F.struct(F.lit(0).alias("depth"), nested.opened(F.lit(0), E.masked_author(F.col("author"), F.col("user")), F.col("time"), F.col("content")).alias("text"))
+    return whole.select("user", "submission_id", nested.document(F.concat(F.array(head), "nodes")).alias("formatted_context"), "user_comment_ids").to(USER_CONTEXT)

@@ -28,9 +28,12 @@ SKIPPED, UNPARSED, NOT_JUDGED = "Judge Skipped/Failed", "ERROR: Judge Parse Fail
 
 
 def masks(inputs: DataFrame, seed: int) -> DataFrame:
-    """inputs' valid rows with mask: MODEL_A, MODEL_B, ... by a seeded hash, per sample; models are few per sample."""
-    order = Window.partitionBy("sample_id").orderBy(F.xxhash64("model", F.lit(seed), "sample_id"), "model")
-    return inputs.where("valid").withColumn("mask", F.concat(F.lit("MODEL_"), F.char(F.lit(64) + F.row_number().over(order))))
+    """inputs' valid rows with mask: MODEL_A to MODEL_Z, MODEL_AA, ... to MODEL_ZZ, by the MD5 of seed, sample and model;
+    models are few per sample."""
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id").cast("string"), "model"))
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy(drawn, "model")) - 1
+    first = F.when(place >= 26, F.char(F.floor(place / 26) + 64)).otherwise("")
+    return inputs.where("valid").withColumn("mask", F.concat(F.lit("MODEL_"), first, F.char(place % 26 + 65)))
 
 
 def ranking_prompts(samples: DataFrame, masked: DataFrame, directive: str, text: str = "formatted_context") -> DataFrame:

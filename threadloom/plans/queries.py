@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import expr as E
-from threadloom.operators import authors, report, similarity, threads
+from threadloom.operators import authors, nested, report, similarity, threads
 from threadloom.plans import adapters as A
+from threadloom.plans.workflow import RESULT_HINT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,9 +186,53 @@ def thread_flat(spark, sf_dir):
     return threads.layout(A.comments(spark, sf_dir), F.lit(USER))
 
 
-@query()
+#: Escapes of JSON strings in ASCII, and the fields of a node at a depth; the same text as operators/nested.py makes.
+_PIECES = r"[ !#-\[\]-~]+|(?s)."
+_UNIT = "'\\u' || format('{{:04x}}', CAST({} AS INTEGER))"
+_WIDE = f"{_UNIT.format('55296 + ((ord(x) - 65536) >> 10)')} || {_UNIT.format('56320 + ((ord(x) - 65536) & 1023)')}"
+
+
+def _quoted(text: str) -> str:
+    short = " ".join(f"WHEN x = chr({ord(c)}) THEN '{e}'" for c, e in nested.SHORT.items())
+    each = f"CASE WHEN length(x) > 1 THEN x {short} WHEN ord(x) BETWEEN 32 AND 126 THEN x WHEN ord(x) >= 65536 THEN {_WIDE} ELSE {_UNIT.format('ord(x)')} END"
+    return f"""coalesce('"' || array_to_string(list_transform(regexp_extract_all({text}, '{_PIECES}'), lambda x: {each}), '') || '"', 'null')"""
+
+
+def _field(name: str, text: str) -> str:
+    return f"""repeat('  ', 2 + 2 * depth) || '"{name}": ' || {_quoted(text)} || ',' || chr(10)"""
+
+
+CONTEXTS = f"""{COMMENTS}, {UP}, {CLOSURE}, placed AS (
+    SELECT c.*, up.up, row_number() OVER (PARTITION BY c.link_id, up.up ORDER BY created_utc, c.id) AS place
+    FROM relevant r JOIN c USING (link_id, id) LEFT JOIN up ON up.link_id = c.link_id AND up.id = c.id
+), labels AS (
+    SELECT link_id, id, 1 AS depth, [place] AS label FROM placed WHERE up IS NULL
+    UNION ALL SELECT p.link_id, p.id, depth + 1, list_append(label, place) FROM labels l JOIN placed p ON p.link_id = l.link_id AND p.up = l.id
+), heads AS (
+    SELECT 't3_' || conv_id AS link_id, conv_id, 'Title: ' || substr(text, 1, 40) || chr(10) || 'Subreddit: sub' || (conv_id % 7) || chr(10) || 'Body: ' AS body FROM conversations WHERE turn = 0 AND conv_id % 10 <> 9
+), nodes AS (
+    SELECT link_id, 0 AS depth, CAST([] AS BIGINT[]) AS label, 'system' AS who, 1420070400 + conv_id * 86400 AS made, body, CAST(NULL AS VARCHAR) AS own FROM heads
+    UNION ALL SELECT p.link_id, depth, label, CASE WHEN author = '{USER}' THEN 'SUBJECT' ELSE author END, created_utc, p.body, CASE WHEN author = '{USER}' THEN p.id END
+    FROM labels JOIN placed p USING (link_id, id) SEMI JOIN heads USING (link_id)
+), following AS (
+    SELECT *, strftime(make_timestamp(made * 1000000), '%d-%m-%Y %H:%M') AS time, lead(depth) OVER (PARTITION BY link_id ORDER BY label) AS nxt FROM nodes
+), written AS (
+    SELECT link_id, label, own, made, repeat('  ', 1 + 2 * depth) || '{{' || chr(10) || {_field("user", "who")} || {_field("time", "time")} || {_field("content", "body")}
+        || repeat('  ', 2 + 2 * depth) || '"replies": [' || CASE WHEN nxt > depth THEN '' ELSE ']' || chr(10) || list_aggregate(list_transform(range(depth, coalesce(nxt, 0) - 1, -1), lambda d:
+            CASE WHEN d = depth THEN '' ELSE repeat('  ', 2 + 2 * d) || ']' || chr(10) END || repeat('  ', 1 + 2 * d) || CASE WHEN d = nxt THEN '}},' ELSE '}}' END || chr(10)), 'string_agg', '') END
+        || CASE WHEN nxt > depth THEN chr(10) ELSE '' END AS text
+    FROM following
+), contexts AS (
+    SELECT '{USER}' AS user, substr(link_id, 4) AS submission_id, '[' || chr(10) || string_agg(text, '' ORDER BY label) || ']' AS formatted_context,
+        string_agg(own, ',' ORDER BY made, own) FILTER (own IS NOT NULL) AS user_comment_ids
+    FROM written GROUP BY link_id HAVING count(own) > 0
+)"""
+
+
+@query(f"WITH RECURSIVE {CONTEXTS} SELECT * FROM contexts")
 def user_context(spark, sf_dir):
-    return threads.contexts(A.comments(spark, sf_dir), A.submissions(spark, sf_dir), _users(spark))
+    built = threads.contexts(A.comments(spark, sf_dir), A.submissions(spark, sf_dir), _users(spark))
+    return built.withColumn("user_comment_ids", F.array_join("user_comment_ids", ","))
 
 
 @query(
@@ -336,7 +381,24 @@ def stub_answer(model: str, text: str) -> str:
     return f'thinking <result>{{"intents": ["{model}"], "koa": ["{len(text)}",]}}</result>'
 
 
-@query()
+def _prompted(prompt: str, data: str) -> str:
+    """Length of a task's prompt with its input data, in SQL."""
+    head, tail = (len(t) for t in (f"{prompt}\n\nINPUT DATA:\n---\n", "\n---" + RESULT_HINT))
+    return f"{head + tail} + length({data})"
+
+
+@query(
+    f"""WITH RECURSIVE {CONTEXTS}, first AS (
+        SELECT CAST(submission_id AS BIGINT) AS sample_id, formatted_context AS t, {_prompted("Infer.", "formatted_context")} AS n FROM contexts
+    ), second AS (
+        SELECT sample_id, n % 7 <> 0 AND ({_prompted("Intents.", "t || chr(10) || chr(10) || 'INFERENCE:' || chr(10) || json_object('inference_output', CAST(n AS VARCHAR))")} + 1) % 7 <> 0 AS valid FROM first
+    ), masked AS (
+        SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5('7|' || sample_id || '|' || model)) = 2 AS b FROM (SELECT *, unnest(['m1', 'm2']) AS model FROM second)
+    )
+    SELECT sample_id, model, CASE WHEN NOT valid THEN -1 WHEN b THEN 1 ELSE 2 END AS rank, CASE WHEN valid THEN b END AS correct,
+        CASE WHEN NOT valid THEN 'Not Judged (Input Error)' END AS judge_status
+    FROM masked"""
+)
 def workflow_stub(spark, sf_dir):
     """All conversations' contexts through a two-stage workflow of two models and a ranking judge, with a stub client."""
     from threadloom.plans import judging, workflow
