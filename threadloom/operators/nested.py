@@ -1,6 +1,6 @@
 """Nested threads as JSON in column functions: pre-order labels give the order, differences in depth the brackets.
 
-A comment's label is the list of places, among the siblings, along the path from its top-level comment down to itself.
+A comment's label lists what orders siblings, along the path from its top-level comment down to itself.
 Labels are built by path doubling, so a thread of depth d takes log2(d) rounds, and sorting by them lists a tree in the
 order of its JSON text. Each comment then writes its own fields and closes as many levels as the next one is higher.
 """
@@ -10,64 +10,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.ordered import ranked
-from threadloom.tables import stored
+from threadloom.tables import counted
 
 #: JSON escapes of single characters (fixed values).
 SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
-#: Runs of characters that stand for themselves, or one that does not.
-_PIECES = r"[\x20\x21\x23-\x5B\x5D-\x7E]+|(?s)."
+#: Characters that stand for themselves.
+_PLAIN = r"[\x20\x21\x23-\x5B\x5D-\x7E]"
 
 
-def quoted(text: Column) -> Column:
-    """A JSON string in ASCII, as Python's json.dumps writes it; `null` for null."""
-    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+def quoted(text: str) -> str:
+    """SQL of a JSON string in ASCII, as Python's json.dumps writes it, of a column; `null` for null."""
+    unit = lambda n: f"concat(char(92), 'u', lpad(lower(hex({n})), 4, '0'))"
+    code = "ascii(x)"
+    short = " ".join(f"WHEN {ord(char)} THEN concat(char(92), char({ord(escape[1])}))" for char, escape in SHORT.items())
+    wide = f"concat({unit(f'55296 + shiftright({code} - 65536, 10)')}, {unit(f'56320 + (({code} - 65536) & 1023)')})"
+    other = f"CASE {code} {short} ELSE CASE WHEN {code} >= 65536 THEN {wide} ELSE {unit(code)} END END"
+    each = f"transform(regexp_extract_all({text}, r'{_PLAIN}+|(?s).', 0), x -> CASE WHEN x RLIKE r'^{_PLAIN}' THEN x ELSE {other} END)"
+    body = f"CASE WHEN {text} RLIKE r'^{_PLAIN}*$' THEN {text} ELSE array_join({each}, '') END"
+    return f"coalesce(concat(char(34), {body}, char(34)), 'null')"
 
-    def escaped(piece: Column) -> Column:
-        code = F.ascii(piece)
-        above = code - 0x10000
-        wide = F.concat(unit(F.lit(0xD800) + F.shiftright(above, 10)), unit(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
-        out = F.when((code >= 0x20) & (code <= 0x7E) & ~piece.isin(*SHORT), piece)
-        for char, short in SHORT.items():
-            out = out.when(piece == char, F.lit(short))
-        return out.when(code >= 0x10000, wide).otherwise(unit(code))
 
-    plain = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
-    safe = ~text.rlike(r"[^\x20\x21\x23-\x5B\x5D-\x7E]")
-    body = F.when(safe, text).otherwise(F.array_join(F.transform(plain, escaped), ""))
-    return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
-
-
-def labelled(rows: DataFrame, group: list[str], id_col: str, parent: str, root: str, order: list[Column]) -> DataFrame:
-    """rows with `label`, array<long>, and `flat`: sorting by (flat, label) within a group lists its trees in pre-order.
+def labelled(rows: DataFrame, group: list[str], id_col: str, parent: str, root: str, order: Column) -> DataFrame:
+    """rows with `label` and `flat`: sorting by (flat, label) within a group lists its trees in pre-order.
 
     `root` marks top-level rows, whatever their parent. Rows that no root reaches, in cycles or below a parent that is
-    missing, are flat: they follow the trees, each on its own, and their label is their place among such rows. (group,
-    id) must be unique; siblings are placed by `order`, which should be total, nulls first. A label is as long as a row
-    is deep.
+    missing, are flat: they follow the trees, each on its own. (group, id) must be unique; siblings lie in `order`, which
+    should be total, nulls first. A label is an array of the orders along the path, as long as the row is deep.
     """
     key = [*group, id_col]
-    up = F.when(F.coalesce(~F.col(root), F.lit(True)), F.col(parent))
-    rows = stored(rows.withColumn("_up", up), "labels-rows")
-    placed = ranked(rows.select(*key, "_up", F.struct(*order).alias("_by"), root), [*group, "_up"], [F.col("_by")], place="_place")
-    there = rows.select(*group, F.col(id_col).alias("_up"), F.lit(True).alias("_there"))
-    paths = placed.join(there, [*group, "_up"], "left").select(
-        *key, F.when(F.col("_there"), F.col("_up")).alias("_up"), F.array("_place").alias("label"), F.coalesce(F.col(root), F.lit(False)).alias("_top")
-    )
-    paths, before = stored(paths, "labels"), -1
-    while (left := paths.where("_up is not null").count()) not in (0, before):
+    top = F.coalesce(F.col(root), F.lit(False))
+    open_ = {"n": F.count("_up")}
+    rows, left = counted(rows.withColumn("_up", F.when(~top, F.col(parent))).withColumn("_by", F.array(order)), "labels-rows", **open_)
+    paths, before = rows.select(*key, "_up", F.col("_by").alias("label"), top.alias("_top")), None
+    while left["n"] and left != before:
         above = paths.select(*group, F.col(id_col).alias("_up"), F.col("_up").alias("_next"), F.col("label").alias("_over"), F.col("_top").alias("_grounded"))
-        longer = F.concat(F.coalesce("_over", F.array().cast("array<bigint>")), "label")
+        longer = F.when(F.col("_over").isNotNull(), F.concat("_over", "label")).otherwise(F.col("label"))
         joined = paths.join(above, [*group, "_up"], "left")
-        paths = stored(joined.select(*key, F.col("_next").alias("_up"), longer.alias("label"), F.coalesce("_grounded", "_top").alias("_top")), "labels")
         before = left
-    reached = F.col("_up").isNull() & F.col("_top")
-    lone = paths.where(~reached).select(*key)
-    labels = paths.where(reached).select(*key, "label", F.lit(False).alias("flat"))
-    if not lone.isEmpty():
-        by = rows.join(lone, key, "left_semi").select(*key, F.struct(*order).alias("_by"))
-        labels = labels.union(ranked(by, group, [F.col("_by")], place="_place").select(*key, F.array("_place"), F.lit(True)))
-    return rows.drop("_up").join(labels, key)
+        paths, left = counted(joined.select(*key, F.col("_next").alias("_up"), longer.alias("label"), F.coalesce("_grounded", "_top").alias("_top")), "labels", **open_)
+    flat = F.col("_up").isNotNull() | ~F.col("_top")
+    labels = paths.select(*key, "label", flat.alias("flat"))
+    joined = rows.drop("_up").join(labels, key)
+    return joined.withColumn("label", F.when(F.col("flat"), F.col("_by")).otherwise(F.col("label"))).drop("_by")
 
 
 def _pad(level: Column) -> Column:
@@ -79,11 +63,11 @@ def _level(depth: Column) -> Column:
     return (1 + 2 * depth).cast("int")
 
 
-def opened(depth: Column, user: Column, time: Column, content: Column) -> Column:
-    """The fields of a node, up to its replies."""
-    inner = _pad(_level(depth) + 1)
-    field = lambda name, value: F.concat(inner, F.lit(f'"{name}": '), quoted(value), F.lit(",\n"))
-    return F.concat(_pad(_level(depth)), F.lit("{\n"), field("user", user), field("time", time), field("content", content), inner, F.lit('"replies": ['))
+def opened(depth: str, user: str, time: str, content: str) -> Column:
+    """The fields of a node, up to its replies, from columns."""
+    inner = f"repeat('  ', 2 + 2 * {depth})"
+    field = lambda name, value: f"""{inner}, '"{name}": ', {quoted(value)}, ',', char(10)"""
+    return F.expr(f"""concat(repeat('  ', 1 + 2 * {depth}), '{{', char(10), {field("user", user)}, {field("time", time)}, {field("content", content)}, {inner}, '"replies": [')""")
 
 
 def closed(depth: Column, following: Column) -> Column:

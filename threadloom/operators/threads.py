@@ -15,7 +15,7 @@ from threadloom.operators import nested
 from threadloom.operators.authors import keep_first
 from threadloom.operators.ordered import ranked
 from threadloom.schema import CONTEXT_COMMENT_COLUMNS, CONTEXT_SUBMISSION_COLUMNS, USER_CONTEXT, require_columns
-from threadloom.tables import stored
+from threadloom.tables import counted, stored
 
 
 def user_links(comments: DataFrame, users: DataFrame) -> DataFrame:
@@ -51,14 +51,15 @@ def _doubled(jumps: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, start: DataFrame, by: list[str]) -> DataFrame:
     """start (by..., link_id, id) and all ancestors, for each value of `by`. Cycles are followed once round."""
     keys = [*by, "link_id", "id"]
-    reached, jumps = stored(start.select(*keys).distinct(), "closure"), stored(edges, "jumps")
-    size = reached.count()
-    while size and not jumps.isEmpty():
+    rows = {"n": F.count(F.lit(1))}
+    reached, size = start.select(*keys).distinct(), None
+    jumps, far = counted(edges, "jumps", **rows)
+    while far["n"]:
         above = reached.join(jumps, ["link_id", "id"]).select(*by, "link_id", F.col("up").alias("id"))
-        reached = stored(reached.union(above).distinct(), "closure")
-        if (grown := reached.count()) == size:
+        reached, grown = counted(reached.union(above).distinct(), "closure", **rows)
+        if grown == size:
             break
-        size, jumps = grown, stored(_doubled(jumps), "jumps")
+        size, (jumps, far) = grown, counted(_doubled(jumps), "jumps", **rows)
     return reached
 
 
@@ -93,15 +94,15 @@ def layout(comments: DataFrame, user: Column) -> DataFrame:
     unique = stored(keep_first(comments.select(*CONTEXT_COMMENT_COLUMNS), ["link_id", "id"], ["created_utc"]), "layout")
     edges = stored(reply_edges(unique), "layout-edges")
     base = unique.select("link_id", "id").join(edges, ["link_id", "id"], "left")
-    hops = stored(base.select("link_id", "id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth")), "hops")
-    left, before = hops.where("up is not null").count(), -1
-    while left and left != before:
+    open_ = {"n": F.count("up")}
+    hops, left = counted(base.select("link_id", "id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth")), "hops", **open_)
+    before = None
+    while left["n"] and left != before:
         other = hops.select("link_id", F.col("id").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
         hops = hops.join(other, ["link_id", "up"], "left").select(
             "link_id", "id", F.col("top").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
         )
-        hops = stored(hops, "hops")
-        before, left = left, hops.where("up is not null").count()
+        before, (hops, left) = left, counted(hops, "hops", **open_)
     depth = hops.select("link_id", "id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
     rows = unique.join(depth, ["link_id", "id"]).join(edges.withColumnRenamed("up", "parent"), ["link_id", "id"], "left")
     slim = rows.select("link_id", "id", "parent", "depth", "created_utc", E.masked_author(F.col("author"), user).alias("user"))
@@ -118,7 +119,7 @@ def contexts(comments: DataFrame, submissions: DataFrame, users: DataFrame) -> D
     """
     require_columns(comments, CONTEXT_COMMENT_COLUMNS, "comments")
     require_columns(submissions, CONTEXT_SUBMISSION_COLUMNS, "submissions")
-    wanted = stored(relevant(comments, users), "wanted")
+    wanted = relevant(comments, users)
     held = comments.select(*CONTEXT_COMMENT_COLUMNS).join(wanted.select("link_id", "id"), ["link_id", "id"], "left_semi")
     rows = wanted.join(keep_first(held, ["link_id", "id"], ["created_utc"]), ["link_id", "id"])
     rows = rows.select(
@@ -129,20 +130,21 @@ def contexts(comments: DataFrame, submissions: DataFrame, users: DataFrame) -> D
         is_root(F.col("parent_id")).alias("root"),
         F.col("created_utc").alias("at"),
         E.masked_author(F.col("author"), F.col("user")).alias("who"),
+        E.epoch_text(F.col("created_utc")).alias("time"),
         F.coalesce("body", F.lit("")).alias("content"),
         "own",
     )
-    in_time = [F.col("at").isNull(), F.col("at"), F.col("id")]
-    listed = nested.labelled(rows, ["user", "submission_id"], "id", "parent", "root", in_time)
-    depth = F.when(F.col("flat"), 1).otherwise(F.size("label")).alias("depth")
-    node = F.struct("flat", "label", depth, nested.opened(depth, F.col("who"), E.epoch_text(F.col("at")), F.col("content")).alias("text"))
+    in_time = [F.col("at").isNull().alias("late"), F.col("at"), F.col("id")]
+    listed = nested.labelled(rows, ["user", "submission_id"], "id", "parent", "root", F.struct(*in_time))
+    listed = listed.withColumn("depth", F.when(F.col("flat"), 1).otherwise(F.size("label")))
+    node = F.struct("flat", "label", "depth", nested.opened("depth", "who", "time", "content").alias("text"))
     grouped = listed.groupBy("user", "submission_id").agg(
         F.transform(F.array_sort(F.collect_list(node)), lambda n: F.struct(n["depth"].alias("depth"), n["text"].alias("text"))).alias("nodes"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("own"), F.struct(*in_time)))), lambda c: c["id"]).alias("user_comment_ids"),
     )
     known = keep_first(submissions.select(*CONTEXT_SUBMISSION_COLUMNS).where(F.col("title").isNotNull()), ["id"], ["created_utc"])
     content = E.submission_content(F.col("title"), F.coalesce("subreddit", F.lit("")), F.coalesce("selftext", F.lit("")))
-    heads = known.select(F.col("id").alias("submission_id"), "author", E.epoch_text(F.col("created_utc")).alias("time"), content.alias("content"))
-    whole = grouped.join(heads, "submission_id")
-    head = F.struct(F.lit(0).alias("depth"), nested.opened(F.lit(0), E.masked_author(F.col("author"), F.col("user")), F.col("time"), F.col("content")).alias("text"))
+    heads = known.select(F.col("id").alias("submission_id"), "author", E.epoch_text(F.col("created_utc")).alias("time"), content.alias("content"), F.lit(0).alias("depth"))
+    whole = grouped.join(heads, "submission_id").withColumn("who", E.masked_author(F.col("author"), F.col("user")))
+    head = F.struct("depth", nested.opened("depth", "who", "time", "content").alias("text"))
     return whole.select("user", "submission_id", nested.document(F.concat(F.array(head), "nodes")).alias("formatted_context"), "user_comment_ids").to(USER_CONTEXT)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +24,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def counted(df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict[str, int]]:
+    """stored(df, name), and aggregates over its rows that the write itself takes, so that no job reads it for them."""
+    seen = Observation()
+    return stored(df.observe(seen, *(c.alias(k) for k, c in what.items())), name), seen.get
