@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions import expr as E
+from threadloom.operators.ordered import ranked
+from threadloom.operators.selection import summaries
 
 
 def counts(rows: DataFrame, author: str = "author") -> DataFrame:
@@ -49,6 +51,22 @@ def texts(rows: DataFrame, line: Column, order: list[str], author: str = "author
     return rows.groupBy(author).agg(F.array_join(F.transform(gathered, lambda s: s["_line"]), separator).alias("formatted_comment"))
 
 
+def text_parts(rows: DataFrame, line: Column, order: list[str], author: str = "author", separator: str = "\n", size: int = 1 << 20) -> DataFrame:
+    """(author, part, formatted_comment): each author's lines in order, split into parts of about `size` characters.
+
+    A part ends with the line that reaches its end, so it is longer than `size` by one line at most, and joining an
+    author's parts with the separator gives texts(). Lines are laid out by running lengths over range-sorted rows, so an
+    author of any size is spread over tasks and no part meets another. Null lines are left out, as are authors without
+    lines. The order should be total.
+    """
+    lines = rows.select(author, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), line.alias("_line")).where("_line is not null")
+    wide = F.length("_line") + len(separator)
+    laid = ranked(lines, [author], [F.col(f"_o{i}") for i in range(len(order))], {"_until": wide}, place="_place")
+    part = F.floor((F.col("_until") - wide) / size).cast("int")
+    gathered = F.array_sort(F.collect_list(F.struct("_place", "_line")))
+    return laid.groupBy(author, part.alias("part")).agg(F.array_join(F.transform(gathered, lambda s: s["_line"]), separator).alias("formatted_comment"))
+
+
 def histogram(values: DataFrame, value: str, bins: int) -> DataFrame:
     """bin (from 0), low, high, freq, share: equal-width bins over the range, the last one closed.
 
@@ -89,11 +107,11 @@ def top_members(counted: DataFrame, bins: int, listed: int = 10, author: str = "
 
 
 def token_ratios(rows: DataFrame, text: str, tokens: Column) -> DataFrame:
-    """Mean and median of characters and of words per token."""
-    measured = rows.select(E.ratio(F.length(text), tokens).alias("c"), E.ratio(E.word_count(F.col(text)), tokens).alias("w"))
-    return measured.agg(
-        F.avg("c").alias("mean_chars"), F.median("c").alias("median_chars"), F.avg("w").alias("mean_words"), F.median("w").alias("median_words")
-    )
+    """Mean and exact median of characters and of words per token, one row; the medians by radix selection."""
+    measured = rows.select(E.ratio(F.length(text), tokens).alias("chars"), E.ratio(E.word_count(F.col(text)), tokens).alias("words"))
+    found = summaries(measured, ["chars", "words"])
+    row = tuple(x for pair in found.values() for x in pair)
+    return rows.sparkSession.createDataFrame([row], "mean_chars double, median_chars double, mean_words double, median_words double")
 
 
 def sample_targets(rows: DataFrame, order: list[str], window: int, users: int, author: str = "author") -> DataFrame:

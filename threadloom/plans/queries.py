@@ -98,6 +98,20 @@ def author_text(spark, sf_dir):
     return authors.texts(held, E.community_line(F.col("subreddit"), F.col("body")), ["created_utc", "id"])
 
 
+PART = 20000
+
+
+@query(
+    f"""WITH l AS (SELECT source AS author, doc_id, 'r/' || lang || ': ' || text AS line FROM documents WHERE source NOT IN ('[deleted]', 'AutoModerator') AND NOT regexp_matches(source, '(?i)bot')),
+    m AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY author ORDER BY doc_id) - length(line) - 1 AS before FROM l WHERE line IS NOT NULL)
+    SELECT author, CAST(before // {PART} AS INTEGER) AS part, md5(string_agg(line, chr(10) ORDER BY doc_id)) AS text_md5 FROM m GROUP BY 1, 2"""
+)
+def author_text_parts(spark, sf_dir):
+    people = A.authored(spark, sf_dir).where(E.is_person(F.col("author")))
+    parts = authors.text_parts(people, E.community_line(F.col("subreddit"), F.col("body")), ["created_utc", "id"], size=PART)
+    return parts.select("author", "part", F.md5("formatted_comment").alias("text_md5"))
+
+
 _BINNED = f"""n AS (SELECT CAST(user_id AS VARCHAR) AS author, count(*) AS v FROM events GROUP BY 1),
     x AS (SELECT min(v)::DOUBLE AS a, max(v)::DOUBLE AS b, count(*) AS total FROM n),
     y AS (SELECT CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN 1.0::DOUBLE ELSE b - a END / {BINS} AS step, total FROM x),
