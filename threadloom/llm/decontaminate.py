@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import lower_ascii, materialize
+from threadloom.llm.common import lower_ascii, materialize, unused
 
 WINDOW = 13
 SHINGLE = 5
@@ -53,8 +53,10 @@ def _places(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
 
 
 def windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
-    """Different windows of all items: win (words), items (sorted ids as strings, all items that hold it), len."""
-    words = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    """Different windows of all items: win (words), items (of all items that hold it, `=` and the id as string, or nothing for the items
+    without an id), len."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(item_col).cast("string")), F.lit(""))
+    words = benchmark.select(name.alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     cut = words.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("win"))
     return cut.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("len", F.size("win"))
@@ -79,14 +81,14 @@ def find_contamination(
     """One row per document: doc_id, text_key, n_words, n_hit (words inside any occurrence of any window), n_items
     (items with occurring windows), items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
-    Null texts and texts without words have no hits and are clean. Items without words are ignored, null item ids
-    too; an empty benchmark leaves all documents clean; an empty table gives no rows. Rows are told apart by (id, text
+    Null texts and texts without words have no hits and are clean. Items without words are ignored.
+    Items without an id contaminate as others do; together they count as one item, and items_sha256 leaves them out. An empty benchmark leaves all documents clean; an empty table gives no rows. Rows are told apart by (id, text
     hash), so repeated rows each get their row. Other columns are dropped.
     """
     key = F.xxhash64(F.col(text_col))
     words = words_of(F.col(text_col))
     own = docs.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), words.alias("words"))
-    wins = materialize(windows(benchmark.where(F.col(item_col).isNotNull()), window, item_col, item_text_col), "decon-windows")
+    wins = materialize(windows(benchmark, window, item_col, item_text_col), "decon-windows")
     lengths = sorted(r[0] for r in wins.select(F.least("len", F.lit(shingle)).alias("n")).distinct().collect())  # at most `shingle` values
     if not lengths:
         none = own.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"))
@@ -148,7 +150,7 @@ def _report(df: DataFrame) -> DataFrame:
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join(F.transform(F.filter("items", lambda i: i != ""), lambda i: F.substring(i, 2, 1 << 30)), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 
@@ -156,5 +158,6 @@ def _report(df: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **kwargs).where("contaminated")
-    bad = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text_col)) == F.col("_k")), "left_anti")
+    doc, own = unused(docs, "_d", "_k")
+    bad = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(own)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text_col)) == F.col(own)), "left_anti")

@@ -8,15 +8,17 @@ vote for the language. Training takes a bounded sample of labelled rows; predict
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import unused
+
 # Language families of ISO 639-1 codes; other labels form the family "other".
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
@@ -29,7 +31,7 @@ _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in cod
 
 UND = "und"
 DIMS = 1 << 13
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def family_of(lang: str) -> str:
@@ -174,15 +176,16 @@ def training_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str
 
 
 def identify(
-    docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False,
+    docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: str | None = None,
     classes: int | None = None,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document, by a model fitted on rows that are not held out.
 
     per_language bounds the labelled texts taken of each language for training (documented sample bound), classes the
-    number of languages (none by default); everything is predicted, from whole texts. Null texts and texts without a letter are `und` with score 0; without labelled
-    rows all are `und`. Null and repeated ids are kept as rows; an empty table gives no rows; other columns are dropped.
-    With keep, docs' own columns come back with a struct _p (lang_pred, score) instead.
+    number of languages (none by default); everything is predicted, from whole texts. Null texts and texts without a letter
+    (Unicode's category L; digits such as ½ or ① are none) are `und` with score 0; without labelled rows all are `und`.
+    Null and repeated ids are kept as rows; an empty table gives no rows; other columns are dropped. With keep, docs' own
+    columns come back with a struct of that name (lang_pred, score) instead.
     """
     sample = training_rows(docs, per_language, id_col, text_col, lang_col, classes)
     model = docs.sparkSession.sparkContext.broadcast(fit([(at, value) for _, at, value in sample], [lang for lang, _, _ in sample]))
@@ -194,12 +197,13 @@ def identify(
 
     predicted = F.pandas_udf(predict, "lang_pred string, score double")
     if keep:  # as nondeterministic, so that a filter on the result does not predict a second time
-        return docs.withColumn("_p", predicted.asNondeterministic()(F.col(text_col)))
+        return docs.withColumn(keep, predicted.asNondeterministic()(F.col(text_col)))
     named = predicted(F.col("text"))
     return rows.withColumn("_p", named).select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **kwargs) -> DataFrame:
     """The rows whose text is in a language, with lang set to the one identified. Rows that are `und` go."""
-    named = identify(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, keep=True, **kwargs)
-    return named.where(F.col("_p.lang_pred") != UND).withColumn(lang_col, F.col("_p.lang_pred")).drop("_p")
+    (found,) = unused(docs, "_p")
+    named = identify(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, keep=found, **kwargs)
+    return named.where(F.col(f"{found}.lang_pred") != UND).withColumn(lang_col, F.col(f"{found}.lang_pred")).drop(found)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize
+from threadloom.llm.common import materialize, unused
 
 KINDS = ("assign", "access", "hex", "live")
 
@@ -187,10 +187,11 @@ def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     Rows find their spans by (id, text hash); texts without such values come through unchanged, nulls as nulls.
     """
+    doc, own, named = unused(docs, "_d", "_k", "_spans")
     found = find_secrets(docs, id_col, text_col, owner_col, repo_col, keyed=True).where(F.col("owned") > 0)
-    found = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("spans").alias("_spans")).distinct()
+    found = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(own), F.col("spans").alias(named)).distinct()
     key = F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32)
-    hit = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left")
+    hit = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (key == F.col(own)), "left")
 
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in parts:
@@ -200,4 +201,4 @@ def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                 out.append(mask(text, live) if live else text)
             yield pd.Series(out, dtype=object)
 
-    return hit.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col), F.col("_spans"))).drop("_d", "_k", "_spans")
+    return hit.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col), F.col(named))).drop(doc, own, named)

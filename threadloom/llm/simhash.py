@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize, release, small_batches
+from threadloom.llm.common import bounded_batches, materialize, release, unused
 from threadloom.llm.components import components
 
 DISTANCE = 2
@@ -480,8 +480,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that share a shingle of their prefixes. Crowded shingles compare each set with one of theirs first; pairs in them that
     are in one component by then need no comparison, all others get theirs.
     """
+    with bounded_batches(docs.sparkSession):
+        return _kept_first(docs, id_col, text_col, words, least)
+
+
+def _kept_first(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     rows = materialize(_sketches(docs, id_col, text_col, words, least), "near-sketches")
     repeats = not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
     nodes = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("set").alias("set"), F.min("doc_id").alias("id")), "near-nodes")
@@ -518,6 +522,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         roots = roots.join(joined, F.col("root") == F.col("old"), "left").select("sid", F.coalesce("new", "root").alias("root"))
     placed = nodes.join(sets.select("set", "sid"), "set").join(roots, "sid").select("root", "key", "id")
     chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("c"))
-    chosen = materialize(chosen.select(F.col("c.id").alias("_id"), F.col("c.key").alias("_key")), "near-chosen")
-    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key")), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]) if repeats else kept
+    first, own = unused(docs, "_id", "_key")
+    chosen = materialize(chosen.select(F.col("c.id").alias(first), F.col("c.key").alias(own)), "near-chosen")
+    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col(first)) & (text_key(text_col) == F.col(own)), "left_semi")
+    return kept.withColumn(own, text_key(text_col)).dropDuplicates([id_col, own]).drop(own) if repeats else kept
