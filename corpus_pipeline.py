@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize, read, small_batches
+from threadloom.llm.common import bounded_batches, materialize, read, small_batches
 from threadloom.llm.decontaminate import drop_contaminated
 from threadloom.llm.langid import keep_identified
 from threadloom.llm.pieces import round_trips
@@ -57,6 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(*COLUMNS)
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with bounded_batches(spark):
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
