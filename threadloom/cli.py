@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import time
 from pathlib import Path
@@ -23,6 +24,7 @@ from threadloom.sources.clients import HttpClient
 from threadloom.sources.csv import read_contexts, read_csv, sampled_contexts
 from threadloom.sources.ndjson import ensure_parquet_cache
 from threadloom.sources.prompts import load_prompt
+from threadloom.tables import exists
 
 PROMPTS = ("inference", "intent_only", "koa_only", "all_in_one")
 
@@ -50,6 +52,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--prompts", required=True, help="folder with <name>/v<N>.txt")
         c.add_argument("--url", required=True, help="chat completions endpoint; the key comes from TEXT_MODEL_KEY")
         c.add_argument("--seed", type=int)
+        c.add_argument("--answers", help="folder of answers; prompts that it holds are not asked again")
+        c.add_argument("--model-to-evaluate", help="of the models, the one whose outputs are judged; all by default")
+        c.add_argument("--debug", action="store_true", help="log at debug level and keep Spark's messages")
     return top
 
 
@@ -66,6 +71,9 @@ def contexts(args) -> None:
 
 def evaluate(args, client=None) -> str:
     spark = session()
+    if args.debug:
+        logging.basicConfig(level=logging.DEBUG)
+        spark.sparkContext.setLogLevel("INFO")
     names = {t.prompt for s in WORKFLOWS[args.workflow] for t in s.tasks} | set(PROMPTS)
     found = {n: load_prompt(args.prompts, n) for n in sorted(names) if (Path(args.prompts) / n).is_dir()}
     catalogue = Catalogue(found, formatters=FORMATTERS)
@@ -80,20 +88,24 @@ def evaluate(args, client=None) -> str:
     seed = args.seed if args.seed is not None else int(time.time())
     if args.command == "refine":
         path = name(None, True)
-        runs = spark.read.parquet(path) if Path(path).exists() else None
+        runs = spark.read.parquet(path) if exists(spark, path) else None
         seed = judging.effective_seed(args.seed, runs)
     frame = read_csv(spark, args.input_data_file) if args.input_data_file else read_contexts(spark, args.input_data_dir)
     samples = sampled_contexts(frame, args.num_samples, seed)
-    results = run_workflow(samples, models, workflow, catalogue, client)
+    results = run_workflow(samples, models, workflow, catalogue, client, answers=args.answers)
     inputs = judge_inputs(results, workflow)
+    if args.model_to_evaluate:
+        if args.model_to_evaluate not in models:
+            raise ValueError(f"{args.model_to_evaluate} is none of the models")
+        inputs = inputs.where(F.col("model") == args.model_to_evaluate)
     run = {"seed": seed, "workflow_name": args.workflow, "judge_prompt_name": named, "judge_prompt_version": catalogue.version(named)}
     if args.command == "rank":
-        long = judging.judge_rankings(samples, inputs, client, args.judge_model, directive, seed)
+        long = judging.judge_rankings(samples, inputs, client, args.judge_model, directive, seed, answers=args.answers)
         sinks.write_csv(judging.wide(long, results, catalogue, models, run), path := name(seed, False))
         report.leaderboard(long).show(truncate=False)
         report.leaderboard_by_tercile(long).show(truncate=False)
         return path
-    long = judging.judge_constraints(samples, inputs, client, args.judge_model, directive)
+    long = judging.judge_constraints(samples, inputs, client, args.judge_model, directive, answers=args.answers)
     flat = long.withColumn("violated_constraints", F.to_json("violated_constraints")).withColumns({k: F.lit(v) for k, v in run.items()})
     if args.command == "refine":
         sinks.append_run(flat.withColumn("run_id", F.lit(time.time_ns())), path)

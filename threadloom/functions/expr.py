@@ -29,8 +29,12 @@ def epoch_timestamp(seconds: Column) -> Column:
 
 
 def epoch_text(seconds: Column) -> Column:
-    """Epoch seconds as dd-MM-yyyy HH:mm; [unknown_time] for null, [invalid_time] where there is no such time."""
-    shown = F.coalesce(F.date_format(epoch_timestamp(seconds), "dd-MM-yyyy HH:mm"), F.lit("[invalid_time]"))
+    """Epoch seconds as dd-MM-yyyy HH:mm in UTC; [unknown_time] for null, [invalid_time] where there is no such time."""
+    # Days and minutes are taken from the number itself, so that the text is UTC whatever the session's time zone.
+    at = F.unix_seconds(epoch_timestamp(seconds))
+    day, minute = F.date_from_unix_date(F.floor(at / 86400).cast("int")), F.floor(F.pmod(at, F.lit(86400)) / 60)
+    clock = F.concat(F.lpad(F.floor(minute / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((minute % 60).cast("string"), 2, "0"))
+    shown = F.coalesce(F.concat(F.date_format(day, "dd-MM-yyyy"), F.lit(" "), clock), F.lit("[invalid_time]"))
     return F.when(seconds.isNull(), F.lit("[unknown_time]")).otherwise(shown)
 
 

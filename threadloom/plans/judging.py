@@ -60,7 +60,7 @@ def _ranked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"sample_id": frame.sample_id, "raw": frame.raw, **{k: [v[k] for v in found] for k in ("ranking", "rationale", "correct_models")}})
 
 
-def judge_rankings(samples: DataFrame, inputs: DataFrame, client: TextClient, judge: str, directive: str, seed: int, text: str = "formatted_context") -> DataFrame:
+def judge_rankings(samples: DataFrame, inputs: DataFrame, client: TextClient, judge: str, directive: str, seed: int, text: str = "formatted_context", answers: str | None = None) -> DataFrame:
     """(sample_id, model, mask, rank, correct, judge_status, judge_rationale, judge_raw_output, input_length).
 
     correct is null where the judge did not say; judge_status says why. Names in the rationale are the models' own.
@@ -68,7 +68,7 @@ def judge_rankings(samples: DataFrame, inputs: DataFrame, client: TextClient, ju
     masked = stored(masks(inputs, seed), "masks")
     asked = ranking_prompts(samples, masked, directive, text).withColumn("model", F.lit(judge))
     schema = "sample_id long, raw string, ranking array<string>, rationale string, correct_models array<string>"
-    verdicts = stored(completed(asked, client).select("sample_id", "raw").mapInPandas(_ranked, schema), "verdicts")
+    verdicts = stored(completed(asked, client, answers=answers).select("sample_id", "raw").mapInPandas(_ranked, schema), "verdicts")
     ranks = unmask(verdicts.where("ranking is not null").select("sample_id", "ranking"), masked.select("sample_id", "mask", "model"))
     names = masked.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct(F.length("mask").alias("n"), "mask", "model"))).alias("names"))
     plain = F.aggregate(F.reverse("names"), F.col("rationale"), lambda t, m: F.replace(t, m["mask"], m["model"]))
@@ -96,14 +96,14 @@ def _violated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"sample_id": frame.sample_id, "model": frame.model_evaluated, "raw": frame.raw, "violated": [violations(t) for t in frame.raw]})
 
 
-def judge_constraints(samples: DataFrame, inputs: DataFrame, client: TextClient, judge: str, directive: str, text: str = "formatted_context") -> DataFrame:
+def judge_constraints(samples: DataFrame, inputs: DataFrame, client: TextClient, judge: str, directive: str, text: str = "formatted_context", answers: str | None = None) -> DataFrame:
     """(sample_id, model, violated_constraints, violation_count, judge_raw_output, judge_input, input_length).
 
     violated_constraints is a map of id to explanation; violation_count is -1 where there is none to count.
     """
     asked = constraint_prompts(samples, inputs, directive, text).withColumn("model", F.lit(judge))
-    answers = completed(asked, client).select("sample_id", "model_evaluated", "raw")
-    found = answers.mapInPandas(_violated, "sample_id long, model string, raw string, violated map<string,string>")
+    told = completed(asked, client, answers=answers).select("sample_id", "model_evaluated", "raw")
+    found = told.mapInPandas(_violated, "sample_id long, model string, raw string, violated map<string,string>")
     lengths = samples.select("sample_id", F.length(text).alias("input_length"))
     joined = inputs.join(found, ["sample_id", "model"], "left").join(lengths, "sample_id")
     return joined.select(

@@ -131,11 +131,11 @@ def task_input(task: Task, raw: str | None, results: dict[str, tuple[str | None,
     return None, f"ERROR: Ambiguous inputs for {task.prompt}: several inputs need a formatter"
 
 
-def run_workflow(samples: DataFrame, models: list[str], workflow: tuple[Stage, ...], catalogue: Catalogue, client: TextClient, text: str = "formatted_context") -> DataFrame:
+def run_workflow(samples: DataFrame, models: list[str], workflow: tuple[Stage, ...], catalogue: Catalogue, client: TextClient, text: str = "formatted_context", answers: str | None = None) -> DataFrame:
     """Long results (sample_id, model, stage, task, prompt_text, raw, value, error, version).
 
     Stages follow each other; all tasks of a stage run in one pass over samples x models. Every stage is written to the
-    shared folder before the next, so answers are asked for once. ValueError for an invalid workflow.
+    shared folder before the next, so answers are asked for once; `answers` is a folder of answers, see completed(). ValueError for an invalid workflow.
     """
     if found := problems(workflow, catalogue.prompts):
         raise ValueError("; ".join(found))
@@ -151,7 +151,7 @@ def run_workflow(samples: DataFrame, models: list[str], workflow: tuple[Stage, .
         prepared = asked.mapInPandas(
             _prepare(stage, catalogue), "sample_id long, model string, stage int, task string, prompt_text string, blocked string, version string"
         )
-        answered = completed(prepared, client)
+        answered = completed(prepared, client, answers=answers)
         for_task = None
         for task in stage.tasks:
             for_task = (F.when if for_task is None else for_task.when)(F.col("task") == task.prompt, parsed(F.col("raw"), catalogue.fields.get(task.prompt)))

@@ -33,8 +33,11 @@ def append_run(df: DataFrame, path: str) -> None:
 
 
 def write_by_user(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder per user, all in one job; folder names keep letters and digits."""
-    df.withColumn("user_dir", safe_name(F.col("user"))).write.mode(mode).partitionBy("user_dir").parquet(path)
+    """One folder per user; folder names keep letters and digits, and a hash follows where users would share one."""
+    named = df.withColumn("user_dir", safe_name(F.col("user")))
+    shared = named.groupBy("user_dir").agg(F.min("user").alias("_first"), F.max("user").alias("_last")).where("_first <> _last").select("user_dir", F.lit(True).alias("_shared"))
+    own = F.when(F.col("_shared"), F.concat_ws("-", "user_dir", F.substring(F.sha2("user", 256), 1, 12))).otherwise(F.col("user_dir"))
+    named.join(shared, "user_dir", "left").withColumn("user_dir", own).drop("_shared").write.mode(mode).partitionBy("user_dir").parquet(path)
 
 
 def sanitize_name(name: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -14,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Error texts of results.
 FAILED = "ERROR: Model execution failed - "
+MISSING = "ERROR: Missing required inputs"
 
 
 class TextClient(Protocol):
@@ -46,21 +49,33 @@ class StubClient:
         return self.answer(model, text)
 
 
-def completed(rows: DataFrame, client: TextClient, model: str = "model", text: str = "prompt_text", threads: int = 16) -> DataFrame:
+def answer(client: TextClient, model: str, prompt: str | None) -> tuple[str | None, str | None]:
+    """(answer, None), or (None, error): whatever a client raises is a result."""
+    if prompt is None:
+        return None, MISSING
+    try:
+        return client.complete(model, prompt), None
+    except Exception as e:  # noqa: BLE001
+        return None, f"{FAILED}{e}"
+
+
+def completed(
+    rows: DataFrame, client: TextClient, model: str = "model", text: str = "prompt_text", threads: int = 16, answers: str | None = None
+) -> DataFrame:
     """rows with raw (the answer) and error; exactly one of the two is null. Null texts are not asked.
 
-    Calls run in a bounded thread pool in each task. Retried tasks ask again, so clients should be idempotent.
+    Calls run in a bounded thread pool in each task. With a folder `answers`, each different prompt is asked once, over
+    all runs that share the folder, and retried tasks read what they had (sources/answers.py); without one, every row is
+    asked and retried tasks ask again, so clients should be idempotent.
     """
+    if answers is not None:
+        from threadloom.sources.answers import answered
+
+        return answered(rows, client, answers, model, text, threads)
     schema = rows.drop("raw", "error").schema.add("raw", "string").add("error", "string")
 
     def ask(pair: tuple[str, str]) -> tuple[str | None, str | None]:
-        name, prompt = pair
-        if prompt is None:
-            return None, "ERROR: Missing required inputs"
-        try:
-            return client.complete(name, prompt), None
-        except Exception as e:  # whatever a client raises is the row's result
-            return None, f"{FAILED}{e}"
+        return answer(client, *pair)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
@@ -89,6 +104,51 @@ def embedded(embed: Callable[[str], list[float]], text: Column, dims: int = 3072
     return F.pandas_udf(run, "array<float>")(text)
 
 
+@dataclass
+class HttpEmbedder:
+    """Embeddings over HTTP, as a function of a text. The key comes in as a value."""
+
+    url: str
+    key: str
+    model: str
+    timeout: float = 120.0
+
+    def __call__(self, text: str) -> list[float]:
+        body = json.dumps({"model": self.model, "input": text}).encode()
+        head = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
+        with urllib.request.urlopen(urllib.request.Request(self.url, body, head), timeout=self.timeout) as got:
+            return json.load(got)["data"][0]["embedding"]
+
+
+def embedding_results(embed: Callable[[str], list[float]], text: Column, dims: int = 3072, threads: int = 16) -> Column:
+    """Column struct (vector array<float>, error string) of embed(text): exactly one of the two, and neither for null.
+
+    What embed raises, and a vector of other than `dims` dimensions or with entries that are no finite numbers, is the
+    row's error; other rows go on.
+    """
+
+    def one(t: str | None) -> tuple[list[float] | None, str | None]:
+        if t is None:
+            return None, None
+        try:
+            vector = [float(x) for x in embed(t)]
+        except Exception as e:  # noqa: BLE001  (the row's result)
+            return None, f"{FAILED}{e}"
+        if len(vector) != dims:
+            return None, f"{FAILED}a vector of {len(vector)} dimensions, not {dims}"
+        if not all(map(math.isfinite, vector)):
+            return None, f"{FAILED}a vector with entries that are not finite"
+        return vector, None
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(threads) as pool:
+            for part in parts:
+                got = list(pool.map(one, part))
+                yield pd.DataFrame({"vector": pd.Series([g[0] for g in got], dtype=object), "error": pd.Series([g[1] for g in got], dtype=object)})
+
+    return F.pandas_udf(run, "vector array<float>, error string")(text)
+
+
 def hashed_embedding(dims: int) -> Callable[[str], list[float]]:
     """A deterministic stand-in for an embedding model."""
 

@@ -29,9 +29,14 @@ def read_contexts(spark: SparkSession, folder: str, pattern: str = "*.csv") -> D
 
 
 def sampled_contexts(frame: DataFrame, n: int, seed: int) -> DataFrame:
-    """sample_id (from 0) and formatted_context of n seeded rows; fewer rows are all taken."""
+    """sample_id (from 0) and formatted_context of n seeded rows; fewer rows are all taken.
+
+    Inputs that repeat count as often as they come: the rows of a text are numbered, and text and number are drawn.
+    """
     if CONTEXT not in frame.columns:
         raise ValueError(f"the input lacks the column {CONTEXT}")
-    picked = seeded_sample(frame.where(F.col(CONTEXT).isNotNull()).select(CONTEXT).distinct(), [CONTEXT], n, seed)
+    times = frame.where(F.col(CONTEXT).isNotNull()).groupBy(CONTEXT).agg(F.count("*").alias("times"))
+    every = times.select(CONTEXT, F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(n).cast("long")))).alias("copy"))
+    picked = seeded_sample(every, [CONTEXT, "copy"], n, seed)
     rows = [(i, r[0]) for i, r in enumerate(picked.collect())]  # n rows at most
     return frame.sparkSession.createDataFrame(rows, f"sample_id long, {CONTEXT} string")

@@ -30,8 +30,18 @@ def read_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType
     Blank lines are skipped and bad UTF-8 bytes are replaced. Files ending in .zst go through the long-window reader,
     one task a file, and are dealt out again behind it; one that breaks off gives a line in _corrupt that says so.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
     raw = T.StructType([*(T.StructField(f.name, T.StringType()) for f in schema.fields), T.StructField(CORRUPT, T.StringType())])
+    # The text reader keeps bytes as they are; U+FFFD takes the place of those that are no UTF-8.
+    parsed = F.from_json(F.call_function("make_valid_utf8", F.col("line")), raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return _lines(spark, [paths] if isinstance(paths, str) else list(paths)).select(parsed.alias("r")).select("r.*")
+
+
+def lines_of(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """The lines, valid UTF-8, of all files that a glob matches."""
+    return _lines(spark, matching(spark, folder, pattern)).select(F.call_function("make_valid_utf8", F.col("line")).alias("line"))
+
+
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     squeezed, plain = [p for p in paths if p.endswith(".zst")], [p for p in paths if not p.endswith(".zst")]
     parts = []
     if plain:
@@ -40,10 +50,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType
         from threadloom.sources.zstd_source import read_zst_lines
 
         parts.append(read_zst_lines(spark, squeezed).repartition(max(len(squeezed), spark.sparkContext.defaultParallelism)))
-    lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    # The text reader keeps bytes as they are; U+FFFD takes the place of those that are no UTF-8.
-    parsed = F.from_json(F.call_function("make_valid_utf8", F.col("line")), raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return lines.select(parsed.alias("r")).select("r.*")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _cast(name: str, kind: T.DataType):
@@ -116,6 +123,11 @@ def ensure_parquet_cache(spark: SparkSession, folder: str, pattern: str, schema:
         rejected.write.mode("overwrite").parquet(rejects)
         target = spark._jvm.org.apache.hadoop.fs.Path(staged)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    got = spark.read.parquet(rows)
+    got = spark.read.parquet(rows)  # count_cached() tells how many
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
     return got.to(nullable)
+
+
+def count_cached(spark: SparkSession, cache: str) -> tuple[int, int]:
+    """Rows and rejects of a cache, by the footers of its files."""
+    return tuple(spark.read.parquet(f"{cache.rstrip('/')}/{name}").count() for name in ("rows", "rejects"))

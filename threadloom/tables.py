@@ -22,6 +22,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any store that Spark reads."""
+    files, target = _at(spark, path)
+    return files.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, target = _at(spark, path)
+    files.delete(target, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
