@@ -522,8 +522,8 @@ def test_edited_fingerprints(spark):
 def test_trees_locate_edits(spark):
     a, b = "One. Two.\nThree. Four.\n", "One. Two.\nThree. FOUR.\n"
     row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(merkle.F.col("a")).alias("a"), merkle.fingerprint(merkle.F.col("b")).alias("b"))
-    out = row.select(merkle.edits(merkle.F.col("a"), merkle.F.col("b")).alias("e"), "a").first()
-    assert out.e.leaves == [3] and len(out.e.sections) == 1
+    out = merkle.with_edits(row, "e", "a", "b").first()
+    assert out.e.leaves == out.e.other_leaves == [3] and len(out.e.sections) == 1
     root, sections, leaves = out.a.split(":")
     whole = [hashlib.sha256(p.encode()).hexdigest() for p in ("One. ", "Two.\n", "Three. ", "Four.\n")]
     groups = [[]]
@@ -536,28 +536,70 @@ def test_trees_locate_edits(spark):
     assert root == hashlib.sha256(".".join(branches).encode()).hexdigest()[:32]
 
 
-def test_edits_against_both_trees(spark):
+def aligned_by_hand(x, y):
+    """Length of a longest rising run of leaves, the k-th occurrence paired with the k-th, by comparing all pairs."""
+    places = {}
+    for j, h in enumerate(y):
+        places.setdefault(h, []).append(j)
+    js, best = [], []
+    for h in x:
+        if places.get(h):
+            js.append(places[h].pop(0))
+    for k, j in enumerate(js):
+        best.append(1 + max((best[m] for m in range(k) if js[m] < j), default=0))
+    return max(best, default=0)
+
+
+def test_likeness_and_edits_against_all_pairs(spark):
     rng = random.Random(14)
-    base = [words(rng, 9) + ".\n" for _ in range(120)]
-    rows = []
-    for _ in range(12):
+    base = [words(rng, 9) + ".\n" for _ in range(60)]
+    rows = [("", "".join(base)), ("".join(base), ""), ("", ""), ("".join(base), "".join(base))]
+    for _ in range(30):
         copy = list(base)
-        for at in rng.sample(range(120), rng.randrange(4)):
-            copy[at] = words(rng, 9) + ".\n"
+        for _ in range(rng.randrange(4)):
+            at, to = rng.randrange(50), rng.randrange(50)
+            kind = rng.randrange(5)
+            if kind == 0:
+                copy[at] = words(rng, 9) + ".\n"
+            elif kind == 1:
+                copy.insert(to, copy[at])
+            elif kind == 2:
+                del copy[at]
+            elif kind == 3:
+                copy[at], copy[to] = copy[to], copy[at]
+            else:
+                copy = copy[at:] + copy[:at]
         rows.append(("".join(copy), "".join(base)))
-    rows += [("", "".join(base)), ("".join(base), "")]
-    c = merkle.F.col
-    frame = merkle.with_fingerprints(spark.createDataFrame(rows, "a string, b string"), x="a", y="b")
-    for r in frame.select("x", "y", merkle.edits(c("x"), c("y")).alias("e"), (merkle.fingerprint(c("a")) == c("x")).alias("same")).collect():
-        (_, sx, lx), (_, sy, ly) = (f.split(":") for f in (r.x, r.y))
-        sx, sy, lx, ly = (v.split(".") if v else [] for v in (sx, sy, lx, ly))
-        assert r.same and r.e.sections == [i for i, h in enumerate(sx) if h not in sy]
-        at, where = 0, []
-        for h in lx:
-            where.append(at)
-            at += h[7] in "08"
-        assert r.e.leaves == [i for i, h in enumerate(lx) if sx[where[i]] not in sy and h not in ly]
-        assert bool(r.e.sections) == (r.x != r.y and bool(lx))
+    rows += [("".join(rng.choice("AB") + "\n" for _ in range(40)), "".join(rng.choice("ABC") + "\n" for _ in range(30))) for _ in range(10)]
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "a string, b string, _pairs int, _row int, _c__pairs int")
+    frame = merkle.with_likeness(merkle.with_fingerprints(frame, x="a", y="b"), near=("x", "y"))
+    got = merkle.with_edits(frame, "e", "x", "y").withColumn("first", merkle.first_edit(merkle.F.col("x"), merkle.F.col("y"))).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(rows) and all((r["_pairs"], r["_row"], r["_c__pairs"]) == (1, 2, 3) for r in got)
+    for r in got:
+        x, y = ([h for h in f.split(":")[2].split(".") if h] for f in (r.x, r.y))
+        n = aligned_by_hand(x, y)
+        assert r.near == (1.0 if r.a == r.b else 2 * n / (len(x) + len(y))) and (r.near == 1.0) == (r.a == r.b)
+        left = [[h for i, h in enumerate(side) if i not in set(out)] for side, out in ((x, r.e.leaves), (y, r.e.other_leaves))]
+        assert left[0] == left[1] and len(left[0]) == n
+        for side, out, sections in ((x, r.e.leaves, r.e.sections), (y, r.e.other_leaves, r.e.other_sections)):
+            assert sections == sorted({sum(h[7] in "08" for h in side[:i]) for i in out})
+        assert r.first == next((i for i, (p, q) in enumerate(itertools.zip_longest(x, y)) if p != q), None)
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "leaves", "others"),
+    [
+        ("Alpha\nBeta\nGamma\n", "Beta\nAlpha\nGamma\n", 1, 1),
+        ("Alpha\nAlpha\nBeta\n", "Alpha\nBeta\n", 1, 0),
+        ("Alpha\nBeta\n", "Alpha\nBeta\nBeta\n", 0, 1),
+        ("".join(f"One {i}\n" for i in range(40)) + "".join(f"Two {i}\n" for i in range(30)), "".join(f"Two {i}\n" for i in range(30)) + "".join(f"One {i}\n" for i in range(40)), 30, 30),
+    ],
+)
+def test_order_and_repetition_count(spark, a, b, leaves, others):
+    frame = merkle.with_fingerprints(spark.createDataFrame([(a, b)], "a string, b string"), x="a", y="b")
+    r = merkle.with_edits(merkle.with_likeness(frame, near=("x", "y")), "e", "x", "y").first()
+    assert r.near < 1 and (len(r.e.leaves), len(r.e.other_leaves)) == (leaves, others)
+    assert bool(r.e.sections) == bool(leaves) and bool(r.e.other_sections) == bool(others)
 
 
 WIDE = [-(1 << 63), -5, 0, 7, (1 << 63) - 1, None]

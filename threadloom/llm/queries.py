@@ -183,11 +183,11 @@ ORACLES: dict[str, str] = {
             SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nx
             FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, sha256(text) DESC)
         ), e AS (
-            SELECT *, substr(text, 1, n - n // 2) || substr(nx, 1, n // 2) AS edited FROM o
+            SELECT *, row_number() OVER () AS rid, substr(text, 1, n - n // 2) || substr(nx, 1, n // 2) AS edited FROM o
         ), t AS (
-            SELECT unnest([text, edited, nx]) AS x, unnest([0, 1, 2]) AS role, doc_id, n, sha256(edited) AS edited_sha256 FROM e
+            SELECT unnest([text, edited, nx]) AS x, unnest([0, 1, 2]) AS role, rid, doc_id, n, sha256(edited) AS edited_sha256 FROM e
         ), l AS (
-            SELECT doc_id, n, edited_sha256, role, list_transform(flatten(list_transform(regexp_extract_all(x, '(?s)(?:.*?(?:\n|[.!?] )|.+$)'), lambda q: regexp_extract_all(q, '(?s).{1,32}'))), lambda p: sha256(p)) AS leaves FROM t
+            SELECT rid, doc_id, n, edited_sha256, role, list_transform(flatten(list_transform(regexp_extract_all(x, '(?s)(?:.*?(?:\n|[.!?] )|.+$)'), lambda q: regexp_extract_all(q, '(?s).{1,32}'))), lambda p: sha256(p)) AS leaves FROM t
         ), m AS (
             SELECT *, coalesce(list_aggregate(list_transform(leaves, lambda h: CASE WHEN h[8] IN ('0', '8') THEN h || chr(31) ELSE h END), 'string_agg', '.'), '') AS marked FROM l
         ), s AS (
@@ -197,22 +197,28 @@ ORACLES: dict[str, str] = {
         ), r AS (
             SELECT *, sha256(coalesce(list_aggregate(sections, 'string_agg', '.'), ''))[1:32] AS root FROM s
         ), f AS (
-            SELECT doc_id, n, edited_sha256, role, list_distinct(short) AS leaves, root,
+            SELECT rid, doc_id, n, edited_sha256, role, short, root,
                 root || ':' || coalesce(list_aggregate(list_transform(sections, lambda h: h[1:16]), 'string_agg', '.'), '') || ':' || coalesce(list_aggregate(short, 'string_agg', '.'), '') AS print
             FROM r
-        ), g AS (
-            SELECT doc_id, edited_sha256, any_value(n) AS n,
-                max(print) FILTER (role = 0) AS fingerprint, max(print) FILTER (role = 1) AS edited_fingerprint,
-                max(root) FILTER (role = 0) AS r0, max(root) FILTER (role = 1) AS r1, max(root) FILTER (role = 2) AS r2,
-                any_value(leaves) FILTER (role = 0) AS l0, any_value(leaves) FILTER (role = 1) AS l1, any_value(leaves) FILTER (role = 2) AS l2
-            FROM f GROUP BY doc_id, edited_sha256
+        ), k AS (
+            SELECT *, row_number() OVER (PARTITION BY rid, role, h ORDER BY i) AS nth
+            FROM (SELECT rid, role, unnest(short) AS h, generate_subscripts(short, 1) AS i FROM f)
+        ), j AS (
+            SELECT a.rid, b.role, list([b.i] ORDER BY a.i) AS js FROM k a JOIN k b ON a.rid = b.rid AND a.h = b.h AND a.nth = b.nth
+            WHERE a.role = 0 AND b.role > 0 GROUP BY a.rid, b.role
+        ), v AS (
+            SELECT rid, role, len(list_reduce(js, lambda t, x: CASE WHEN x[1] > t[-1] THEN list_append(t, x[1])
+                ELSE list_transform(t, lambda y, m: CASE WHEN y > x[1] AND (m = 1 OR t[m - 1] < x[1]) THEN x[1] ELSE y END) END)) AS aligned
+            FROM j
+        ), c AS (
+            SELECT a.rid, b.role, b.print, CASE WHEN a.root = b.root THEN 1.0::DOUBLE
+                    ELSE least(2.0::DOUBLE * coalesce(aligned, 0), len(a.short) + len(b.short) - 1.0::DOUBLE) / (len(a.short) + len(b.short)) END AS near,
+                nullif(list_position(list_transform(list_zip(a.short, b.short), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), 0) - 1 AS first_edit
+            FROM f a JOIN f b ON a.rid = b.rid LEFT JOIN v ON v.rid = b.rid AND v.role = b.role WHERE a.role = 0 AND b.role > 0
         )
-        SELECT doc_id, CAST(n AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
-            CASE WHEN r0 = r1 THEN 1.0::DOUBLE WHEN len(l0) + len(l1) = 0 THEN 0.0::DOUBLE
-                ELSE 2.0::DOUBLE * len(list_intersect(l0, l1)) / (len(l0) + len(l1)) END AS near_edited,
-            CASE WHEN r0 = r2 THEN 1.0::DOUBLE WHEN len(l0) + len(l2) = 0 THEN 0.0::DOUBLE
-                ELSE 2.0::DOUBLE * len(list_intersect(l0, l2)) / (len(l0) + len(l2)) END AS near_next
-        FROM g
+        SELECT f.doc_id, CAST(f.n AS BIGINT) AS n_chars, f.edited_sha256, f.print AS fingerprint, e.print AS edited_fingerprint,
+            e.near AS near_edited, x.near AS near_next, CAST(e.first_edit AS BIGINT) AS first_edit
+        FROM f JOIN c e ON e.rid = f.rid AND e.role = 1 JOIN c x ON x.rid = f.rid AND x.role = 2 WHERE f.role = 0
     """,
     "op12_urls": f"""
         WITH u AS (
