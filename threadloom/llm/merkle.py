@@ -211,8 +211,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text; null ids come last in descending order; rows that repeat an id follow by text hash, descending, and equal
     rows in any order; a lone document is its own next one; an empty table gives no rows; other columns are dropped.
 
-    Rows are dealt once, by ranges of ids of about equal bytes; within a range the next row is a window's lead, and
-    each range's first row, found by id, follows the range before.
+    Rows are dealt once, by ranges of ids of about equal bytes; each range also gets the first row
+    of the range behind it, found by id, and the next row is a window's lead.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -222,24 +222,23 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = sizes.agg(F.sum("size")).first()[0] or 0
     bounds = splitters(sizes, "doc_id", F.col("size"), max(1, min(1 << 14, max(total // (24 << 20), min(partitions(spark), total // (1 << 20))))))
 
-    # Each range is a task of its own. A text is fingerprinted once, behind the exchange; its predecessor takes both over.
-    ranged = rows.withColumn("range", range_of(F.col("doc_id"), bounds).cast("int"))
-    dealt = with_fingerprints(ranged.repartitionById(len(bounds) + 1, F.col("range")), fingerprint="text")
-    order = [F.col("doc_id").desc_nulls_last(), F.sha2("text", 256).desc()]
-    window = Window.partitionBy("range").orderBy(*order)
-    following = dealt.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(window))
-
     # The first row of each range: ids are compared first, so that a text is looked at for one id a range alone.
     # What the driver holds is a number a range.
+    ranged = rows.withColumn("range", range_of(F.col("doc_id"), bounds).cast("int"))
     tops = sizes.groupBy(range_of(F.col("doc_id"), bounds).cast("int").alias("r")).agg(F.max("doc_id").alias("top"))
     tied = ranged.join(F.broadcast(tops), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = tied.groupBy("range").agg(F.max(F.struct(F.sha2("text", 256).alias("h"), "text")).alias("t")).select("range", "t.text")
-    heads = with_fingerprints(heads, fingerprint="text")
+    heads = tied.groupBy("range").agg(F.max(F.struct(F.sha2("text", 256).alias("h"), "text")).alias("t")).select(F.col("range").alias("then"), "t.text")
     falling = sorted((r[0] for r in tops.select("r").collect()), reverse=True)
-    succession = spark.createDataFrame(list(zip(falling, falling[1:] + falling[:1], strict=True)), "r int, then int")
-    across = heads.select(F.col("range").alias("then"), F.struct("text", "fingerprint").alias("across"))
-    nexts = succession.join(across, "then").select("r", "across")
-    open_ = following.join(nexts, (F.col("range") == F.col("r")) & F.col("next").isNull(), "left").withColumn("next", F.coalesce("next", "across"))
+    succession = spark.createDataFrame(list(zip(falling, falling[1:] + falling[:1], strict=True)), "range int, then int")
+    behind = heads.join(F.broadcast(succession), "then").select(F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(True).alias("behind"))
+
+    # Each range is a task of its own and ends with the row that follows it, so texts are dealt once and never joined. A text
+    # is fingerprinted once, behind the exchange; its predecessor takes both over.
+    all_rows = ranged.withColumn("behind", F.lit(False)).unionByName(behind)
+    dealt = with_fingerprints(all_rows.repartitionById(len(bounds) + 1, F.col("range")), fingerprint="text")
+    order = [F.col("behind"), F.col("doc_id").desc_nulls_last(), F.sha2("text", 256).desc()]
+    following = dealt.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(Window.partitionBy("range").orderBy(*order)))
+    open_ = following.where(~F.col("behind"))
 
     half = F.shiftright("n_chars", 1).cast("int")
     own = open_.select("doc_id", "text", "next", "fingerprint", F.length("text").cast("long").alias("n_chars"))
