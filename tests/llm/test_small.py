@@ -268,6 +268,42 @@ def brute_removed(rows):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("small", [31, 100, suffixes.SMALL])
+def test_multikey_order(monkeypatch, small):
+    monkeypatch.setattr(suffixes, "SMALL", small)
+    rng = np.random.default_rng(small)
+    for high in (1, 3, 1 << 60):
+        keys = [rng.integers(0, high, 5000), rng.integers(0, 4, 5000).astype(np.uint64), rng.integers(-9, 9, 5000)]
+        order = suffixes.multikey_order(*keys)
+        assert sorted(order.tolist()) == list(range(5000))
+        rows = [tuple(r) for r in np.stack([k.astype(object) for k in keys], axis=1)[order]]
+        assert rows == sorted(rows)
+    assert len(suffixes.multikey_order(np.zeros(0, dtype=np.int64))) == 0
+
+
+def test_no_table_stays_behind_a_failure(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "_cut", lambda held: 1 // 0)
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(ZeroDivisionError):
+        suffixes.remove_repeats(docs_of(spark, [(1, "q" * 300)]))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+@pytest.mark.parametrize(("size", "bucket_bytes"), [(60, suffixes.BUCKET_BYTES), (suffixes.PASS, 900), (9, 2000)])
+def test_repeats_in_many_buckets_and_passes(spark, monkeypatch, size, bucket_bytes):
+    monkeypatch.setattr(suffixes, "PASS", size)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", bucket_bytes)
+    rng = random.Random(5)
+    passage = words(rng, 60)
+    rows = [(i, words(rng, rng.randrange(1, 300))) for i in range(20)]
+    rows += [(40 + i, f"{words(rng, 20)} {passage} {words(rng, 5)}") for i in range(12)]
+    rows += [(60 + i, f"{words(rng, 3)} {passage[:32]} {words(rng, 30)} {passage}") for i in range(12)]
+    rows += [(80, "ab" * 900), (81, rows[0][1]), (82, rows[0][1]), (83, None)]
+    got = suffixes.remove_repeats(docs_of(spark, rows)).collect()
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((tuple(r[c] for c in cols) for r in got), key=repr) == brute_removed(rows)
+
+
 @pytest.mark.parametrize(("crowded", "chunk"), [(suffixes.CROWDED, suffixes.CHUNK), (1, suffixes.CHUNK), (suffixes.CROWDED, 700)])
 def test_repeats(spark, monkeypatch, crowded, chunk):
     rng = random.Random(9)

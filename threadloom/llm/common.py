@@ -40,10 +40,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a materialize()d table that no later plan reads."""
-    spark = df.sparkSession
     for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        drop_folder(df.sparkSession, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:

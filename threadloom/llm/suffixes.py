@@ -5,9 +5,10 @@ minimizer); so two equal strings have their minimizer at the same place. Suffixe
 only, about one in 35 bytes. A suffix is read as tokens: the hash of its first GRAM bytes, then the hash of its
 surroundings, which hold all LENGTH-byte strings around that minimizer.
 
-Sampled splitters range-partition suffixes by these leading tokens. Each map task ships one sorted, packed run for each
-bucket, after settling repeats it sees itself, so a string in a third of all documents arrives once a task. A bucket
-merges its runs by a multikey sort. Suffixes with equal tokens throughout repeat the first of them. Suffixes with an
+Sampled splitters range-partition suffixes by these leading tokens, into as many buckets as the texts' size asks for.
+Each map task ships one sorted, packed run for each bucket, after settling repeats it sees itself, so a string in a
+third of all documents arrives once a task. A bucket keeps its runs packed and sorts PASS suffixes of them at a time by
+a multikey quicksort over the tokens. Suffixes with equal tokens throughout repeat the first of them. Suffixes with an
 equal first token but different surroundings come again with their bytes: they are compared string by string, within a
 first token or, for crowded tokens and those that a splitter cuts, spread by the strings themselves, again through
 sorted buckets. Documents equal as a whole are settled by their hash before all this.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize, number_rows, partitions
+from threadloom.llm.common import drop_folder, materialize, number_rows, partitions, workdir
 
 LENGTH = 100
 GRAM = 32
@@ -36,7 +38,10 @@ CONTEXT = LENGTH + SIDE
 CHUNK = 1 << 19
 RUN = 1 << 21
 CROWDED = 2048
-SAMPLE = 1 << 14
+SAMPLE = 1 << 12  # texts that splitters are taken from, about; more where there are more buckets
+BUCKET_BYTES = 1 << 29  # of texts whose suffixes are one bucket's, about: 16 million suffixes
+PASS = 1 << 22  # suffixes that a bucket holds unpacked, about
+SMALL = 1 << 12  # rows that quicksort leaves to numpy
 
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x5851F42D4C957F2D
 _PLACE = (1 << 20) - 1
@@ -112,6 +117,31 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     return off[keep], *(x[keep] for x in rest)
 
 
+def multikey_order(*keys: np.ndarray) -> np.ndarray:
+    """The order of rows by keys, the first key first, found by multikey quicksort.
+
+    A segment is parted in three by a pivot of one key; only the middle part, equal in it, goes on to the next key. Parts
+    of SMALL rows or fewer are finished by numpy, over the keys that are left. Equal rows come in any order.
+    """
+    order = np.arange(len(keys[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        low, high, depth = todo.pop()
+        part = order[low:high]
+        if len(part) <= SMALL:
+            order[low:high] = part[np.lexsort([k[part] for k in reversed(keys[depth:])])]
+            continue
+        key = keys[depth][part]
+        pivot = np.sort(key[:: len(key) // 31])[16]
+        less, more = key < pivot, key > pivot
+        a, b = low + int(less.sum()), high - int(more.sum())
+        order[low:high] = np.concatenate([part[less], part[~(less | more)], part[more]])
+        todo += [(low, a, depth), (b, high, depth)]
+        if depth + 1 < len(keys):
+            todo.append((a, b, depth + 1))
+    return order
+
+
 _HIGH = np.uint64(0xFFFFFFFFFFFF0000)
 
 
@@ -131,7 +161,7 @@ class Run:
     def sorted(self) -> Run:
         """By tokens, document and offset; a row that comes twice (a string around two crowded suffixes) stays once."""
         token, around, order, off, *_ = self.columns
-        by = np.lexsort((off, order, around, token))
+        by = multikey_order(token, around, order, off)
         fresh = np.ones(len(by), dtype=bool)
         fresh[1:] = np.any([c[by][1:] != c[by][:-1] for c in (token, around, order, off)], axis=0)
         return self.take(by[fresh])
@@ -143,6 +173,10 @@ class Run:
         planes = [np.frombuffer(x, dtype=np.uint8).reshape(-1, 8).T.tobytes() if n < 2 else x for n, x in enumerate(rest)]
         return zstandard.compress(b"".join([*six, *planes]), 1)
 
+    @staticmethod
+    def rows_of(blob: bytes) -> int:
+        return zstandard.frame_content_size(blob) // 30
+
     @classmethod
     def unpack(cls, blob: bytes) -> Run:
         raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
@@ -211,32 +245,57 @@ def _text_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
         yield Run.join(held)
 
 
+def _first_tokens(bounds: np.ndarray) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(s.ljust(16, b"\0")[:8] for s in bounds.tolist()), dtype=">u8").astype(np.uint64))
+
+
+def _passes(blobs: list[bytes], size: int) -> Iterator[tuple[Run, np.ndarray]]:
+    """A bucket's packed, sorted runs joined and sorted, in ranges of about `size` suffixes, and the first tokens that the
+    ranges' bounds cut. Every range unpacks the runs again, one by one, and takes its slice."""
+    rows = sum(map(Run.rows_of, blobs))
+    count, bounds = -(-rows // size), np.zeros(0, dtype="S16")
+    if count > 1:
+        step = max(1, size // 1024)
+        some = np.sort(np.concatenate([_composite(*Run.unpack(b).columns[:2])[::step] for b in blobs]))
+        bounds = np.unique(some[[len(some) * i // count for i in range(1, count)]])
+    cut = _first_tokens(bounds)
+    for n in range(len(bounds) + 1):
+        held = []
+        for blob in blobs:
+            run = Run.unpack(blob)
+            if len(bounds):
+                edges = [0, *np.searchsorted(_composite(*run.columns[:2]), bounds, side="left").tolist(), len(run.columns[0])]
+                run = run.take(slice(edges[n], edges[n + 1]))
+            held.append(run)
+        yield Run.join(held).sorted(), cut
+
+
 def _merge(splitters: np.ndarray):
     """Merge a bucket's runs; kind 0: a settled range; 1: a suffix to compare; 2: one to compare that is crowded."""
-    cut = np.unique(np.frombuffer(b"".join(s.ljust(16, b"\0")[:8] for s in splitters.tolist()), dtype=">u8").astype(np.uint64))
+    between, size = _first_tokens(splitters), PASS
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[Run]] = {}
+        packed: dict[int, list[bytes]] = {}
         for batch in batches:
             ord_, low, high = (batch.column(c).flatten().to_numpy() for c in ("ord", "low", "high"))
             if len(ord_):
                 yield _rows(0, ord_, low, high, np.zeros(len(ord_), dtype=np.int64))
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
                 if blob.is_valid:
-                    runs.setdefault(bucket, []).append(Run.unpack(blob.as_py()))
-        for bucket in sorted(runs):
-            run = Run.join(runs.pop(bucket)).sorted()
-            same, again = run.repeats()
-            order, low, high = run.take(again).ranges()
-            yield _rows(0, order, low, high, np.zeros(len(order), dtype=np.int64))
-            lead = ~again
-            group = np.cumsum(~same) - 1
-            leads = np.bincount(group, weights=lead).astype(np.int64)[group]
-            token = run.columns[0]
-            crossing = np.isin(token, cut)
-            for kind, rows in ((1, lead & (leads > 1) & (leads <= CROWDED) & ~crossing), (2, lead & ((leads > CROWDED) | crossing))):
-                _, _, order, off, _, _ = run.take(rows).columns
-                yield _rows(kind, order, off, off, token[rows].view(np.int64))
+                    packed.setdefault(bucket, []).append(blob.as_py())
+        for bucket in sorted(packed):
+            for run, within in _passes(packed.pop(bucket), size):
+                same, again = run.repeats()
+                order, low, high = run.take(again).ranges()
+                yield _rows(0, order, low, high, np.zeros(len(order), dtype=np.int64))
+                lead = ~again
+                group = np.cumsum(~same) - 1
+                leads = np.bincount(group, weights=lead).astype(np.int64)[group]
+                token = run.columns[0]
+                crossing = np.isin(token, between) | np.isin(token, within)
+                for kind, rows in ((1, lead & (leads > 1) & (leads <= CROWDED) & ~crossing), (2, lead & ((leads > CROWDED) | crossing))):
+                    _, _, order, off, _, _ = run.take(rows).columns
+                    yield _rows(kind, order, off, off, token[rows].view(np.int64))
 
     return merge
 
@@ -288,7 +347,7 @@ def _repeated_windows(token, order, off, before, after, ctx) -> tuple[np.ndarray
     salt = _mix(token.view(np.uint64) * _MIX + np.uint64(1))[:, None] + starts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     keys = _mix(strings + _mix(salt))
     rank = np.empty(m, dtype=np.int64)
-    rank[np.lexsort((off, order))] = np.arange(m)
+    rank[multikey_order(order, off)] = np.arange(m)
     row, col = np.nonzero(valid)
     key = keys[row, col]
     by = np.argsort(key)
@@ -296,7 +355,7 @@ def _repeated_windows(token, order, off, before, after, ctx) -> tuple[np.ndarray
     shared = np.sort(by[equal[1:] | equal[:-1]]) if len(by) else by
     row, col, key = row[shared], col[shared], key[shared]
     second = _second(ctx, row, col)  # only strings whose first hash is shared need it
-    by = np.lexsort((rank[row], second, key))
+    by = multikey_order(key, second, rank[row])
     later = np.zeros(len(key), dtype=bool)
     later[by[1:]] = (key[by[1:]] == key[by[:-1]]) & (second[by[1:]] == second[by[:-1]])
     hit = np.zeros((m, SIDE + 3), dtype=np.int8)
@@ -399,8 +458,9 @@ def _ship(source: DataFrame, runs, splitters: np.ndarray) -> DataFrame:
     return source.mapInArrow(ship, _SHIPPED).repartitionById(n, F.col("bucket")).mapInArrow(_merge(splitters), _SETTLED)
 
 
-def _splitters(source: DataFrame, runs, buckets: int) -> np.ndarray:
-    """Quantiles of the leading tokens of at most SAMPLE suffixes; they set bucket bounds alone, never results."""
+def _splitters(source: DataFrame, runs, buckets: int, texts: int) -> np.ndarray:
+    """Quantiles of the leading tokens of texts that a hash of their number chose from the whole table; 256 tokens or so
+    of each run of theirs, 16 a bucket at most, come to the driver. They set bucket bounds alone, never results."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches):
@@ -408,11 +468,21 @@ def _splitters(source: DataFrame, runs, buckets: int) -> np.ndarray:
             keys = keys[:: max(1, len(keys) // 256)]
             yield pa.RecordBatch.from_arrays([pa.array([k.ljust(16, b"\0") for k in keys.tolist()], type=pa.binary())], names=["key"])
 
-    got = sorted(bytes(r[0]) for r in source.limit(4096).mapInArrow(sample, "key binary").limit(SAMPLE).collect())
+    wanted = max(SAMPLE, 4 * buckets)
+    some = source.where(F.pmod(F.xxhash64("ord"), F.lit(max(1, texts // wanted))) == 0)
+    got = sorted(bytes(r[0]) for r in some.mapInArrow(sample, "key binary").limit(max(1 << 14, 16 * buckets)).collect())
     picks = [got[len(got) * i // buckets] for i in range(1, buckets)] if got else []
     return np.unique(np.array(picks, dtype="S16"))
 
 
+class _Texts(NamedTuple):
+    """The texts to compare, compressed and bucketed by ord, their number, and the buckets of suffixes that they need."""
+
+    table: DataFrame
+    count: int
+    buckets: int
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (of removed byte ranges).
 
@@ -428,18 +498,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows, _ = number_rows(rows, [F.col("doc_id").asc_nulls_first(), F.sha2("text", 256)], "ord")
     facts = rows.select("ord", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     facts = materialize(facts, "suffix-facts")
-    first = facts.groupBy("sha").agg(F.min("ord").alias("ord"), F.first("n_bytes").alias("n_bytes"))
-    whole = first.where(F.col("n_bytes") >= LENGTH).select(F.col("ord").alias("o"))
+    first = facts.groupBy("sha").agg(F.min("ord").alias("lead"), F.first("n_bytes").alias("n_bytes"))
+    first = materialize(first.where(F.col("n_bytes") >= LENGTH).select("lead", "n_bytes"), "suffix-first")
+    count, size = first.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
 
     # Texts are compressed where they are read and dealt once, into a bucketed table that later steps join in place.
     n = partitions(spark)
-    table = f"threadloom_suffixes_{uuid.uuid4().hex}"
-    squeezed = rows.where(F.octet_length("text") >= LENGTH).select("ord", "text").mapInArrow(_pack_texts, "ord long, z binary")
-    unique = squeezed.join(whole, F.col("ord") == F.col("o"), "left_semi").repartition(n, "ord")
-    unique.write.bucketBy(n, "ord").format("parquet").saveAsTable(table)
-    texts = spark.table(table)
+    table, folder = f"threadloom_suffixes_{uuid.uuid4().hex}", workdir(spark, "suffix-texts")
+    try:
+        squeezed = rows.where(F.octet_length("text") >= LENGTH).select("ord", "text").mapInArrow(_pack_texts, "ord long, z binary")
+        unique = squeezed.join(first.select("lead"), F.col("ord") == F.col("lead"), "left_semi").repartition(n, "ord")
+        unique.write.bucketBy(n, "ord").format("parquet").option("path", folder).saveAsTable(table)
+        cut = _cut(_Texts(spark.table(table), count, max(n, -(-size // BUCKET_BYTES))))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        drop_folder(spark, folder)
+
+    # Rows find by their own number whether they are the first of their text, so that a text in many rows is no hot key.
+    known = facts.join(first.select("lead"), F.col("ord") == F.col("lead"), "left").join(cut.withColumnRenamed("ord", "o"), F.col("ord") == F.col("o"), "left")
+    copy = F.col("lead").isNull() & (F.col("n_bytes") >= LENGTH)
+    none = F.array().cast("array<long>")
+    return known.select(
+        "doc_id",
+        "n_bytes",
+        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(copy, F.array(F.lit(0).cast("long"))).otherwise(F.coalesce("starts", none)).alias("starts"),
+        F.when(copy, F.array("n_bytes")).otherwise(F.coalesce("ends", none)).alias("ends"),
+    )
 
-    splitters = _splitters(texts, _text_runs, n)
+
+def _cut(held: _Texts) -> DataFrame:
+    """ord, n_removed, n_spans, kept_sha256, starts and ends of the texts that lose something."""
+    texts, n = held.table, partitions(held.table.sparkSession)
+    splitters = _splitters(texts, _text_runs, held.buckets, held.count)
     merged = materialize(_ship(texts, _text_runs, splitters), "suffix-merged")
     found = [merged.where("kind = 0").select("ord", "low", "high")]
     kinds = {r[0] for r in merged.select("kind").distinct().collect()}
@@ -452,29 +545,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         compared = with_texts(1).mapInArrow(_contexts, _COMPARED).repartition(n, "token").sortWithinPartitions("token")
         found.append(compared.mapInArrow(_compare, _SETTLED).select("ord", "low", "high"))
     if 2 in kinds:
-        crowd = with_texts(2)
         strings = lambda batches: _batched(_window_runs(batches))
-        spread = np.array([(int(2**64) * i // n).to_bytes(8, "big") + bytes(8) for i in range(1, n)], dtype="S16")
-        found.append(_ship(crowd, strings, spread).where("kind = 0").select("ord", "low", "high"))
+        spread = np.array([(int(2**64) * i // held.buckets).to_bytes(8, "big") + bytes(8) for i in range(1, held.buckets)], dtype="S16")
+        found.append(_ship(with_texts(2), strings, spread).where("kind = 0").select("ord", "low", "high"))
     ranges = found[0]
     for other in found[1:]:
         ranges = ranges.union(other)
     by_doc = ranges.groupBy("ord").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
     schema = "ord long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-    cut = texts.join(by_doc, "ord").select("ord", "z", "low", "high").mapInArrow(_cut_out, schema)
-    cut = materialize(cut, "suffix-cut")
-    spark.sql(f"DROP TABLE {table}")
-
-    copies = first.select(F.col("sha").alias("s"), F.col("ord").alias("lead"))
-    known = facts.join(copies, F.col("sha") == F.col("s")).join(cut.withColumnRenamed("ord", "o"), F.col("ord") == F.col("o"), "left")
-    copy = (F.col("ord") != F.col("lead")) & (F.col("n_bytes") >= LENGTH)
-    none = F.array().cast("array<long>")
-    return known.select(
-        "doc_id",
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(copy, F.array(F.lit(0).cast("long"))).otherwise(F.coalesce("starts", none)).alias("starts"),
-        F.when(copy, F.array("n_bytes")).otherwise(F.coalesce("ends", none)).alias("ends"),
-    )
+    return materialize(texts.join(by_doc, "ord").select("ord", "z", "low", "high").mapInArrow(_cut_out, schema), "suffix-cut")
