@@ -1,11 +1,13 @@
 import json
+import random
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from threadloom import sinks
 from threadloom.schema import COMMENTS
-from threadloom.sources import clients, csv, ndjson, prompts
+from threadloom.sources import clients, csv, ndjson, prompts, zstd_source
 
 
 def lines():
@@ -70,6 +72,64 @@ def test_broken_stream_leaves_a_reject(spark, tmp_path, damage):
     assert any("broken zstd stream" in (t or "") for t in told)
 
 
+def pieces_of(body, n, seed=1):
+    rng = random.Random(seed)
+    cuts = sorted(rng.randrange(len(body)) for _ in range(n - 1))
+    return [body[a:b] for a, b in zip([0, *cuts], [*cuts, len(body)], strict=True)]
+
+
+BODY = "".join(f"{i} é{random.Random(i).randbytes(i % 90).hex()}\n" for i in range(3000)).encode()
+SKIPPED = b"\x53\x2a\x4d\x18\x05\x00\x00\x00hello"
+
+
+def damaged(frames, how):
+    out = [zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=i % 2 == 0).compress(f) for i, f in enumerate(frames)]
+    if how == "flip":
+        out[7] = out[7][: len(out[7]) // 2] + bytes([out[7][len(out[7]) // 2] ^ 255]) + out[7][len(out[7]) // 2 + 1 :]
+    if how == "header":
+        out[9] = out[9][:4] + b"\xff" * 8 + out[9][12:]
+    if how == "skippable":
+        out = [x for frame in out for x in (frame, SKIPPED)]
+    joined = b"".join(out)
+    return {"cut": joined[:-9], "garbage": joined + b"no frame at all"}.get(how, joined)
+
+
+@pytest.mark.parametrize("how", ["whole", "skippable", "flip", "header", "cut", "garbage"])
+def test_frames_in_splits_give_the_lines_of_the_whole(tmp_path, how):
+    (tmp_path / "a.zst").write_bytes(raw := damaged(pieces_of(BODY, 20), how))
+    whole = list(zstd_source.stream_lines(str(tmp_path / "a.zst")))
+    want = BODY.decode().splitlines()
+    told = [x for x in whole if x.startswith(zstd_source.BROKEN)]
+    assert len(told) == (how not in ("whole", "skippable"))
+    assert whole == want if not told else len(set(whole) & set(want)) > 2500
+    for split in (61, 997, 5000, 30_011, len(raw) // 2, len(raw)):
+        bounds = [*range(0, len(raw), split), None]
+        got = [x for a, b in zip(bounds, bounds[1:], strict=False) for x in zstd_source.stream_lines(str(tmp_path / "a.zst"), a, b)]
+        assert sorted(got) == sorted(whole), split
+
+
+def test_long_lines_and_bytes_that_look_like_frames(tmp_path):
+    body = zstd_source.MAGIC * 5000 + b"x" * 3000 + b"\n" + zstd_source.MAGIC + b"\nend"
+    (tmp_path / "a.zst").write_bytes(raw := b"".join(zstandard.compress(p, 1) for p in pieces_of(body, 40)))
+    whole = list(zstd_source.stream_lines(str(tmp_path / "a.zst")))
+    assert whole == [x.decode("utf-8", "replace") for x in body.split(b"\n")]
+    for split in (100, 700):
+        bounds = [*range(0, len(raw), split), None]
+        assert [x for a, b in zip(bounds, bounds[1:], strict=False) for x in zstd_source.stream_lines(str(tmp_path / "a.zst"), a, b)] == whole
+
+
+def test_a_file_of_many_frames_is_read_by_many_tasks(spark, tmp_path):
+    frames = b"".join(zstandard.compress(p, 1) for p in pieces_of(BODY, 20))
+    (tmp_path / "many.zst").write_bytes(frames)
+    (tmp_path / "one.zst").write_bytes(zstandard.compress(BODY, 1))
+    (tmp_path / "none.zst").write_bytes(b"")
+    for name, several in (("many", True), ("one", False)):
+        rows = zstd_source.read_zst_lines(spark, [str(tmp_path / f"{name}.zst"), str(tmp_path / "none.zst")], len(frames) // 10)
+        found = rows.select("line", F.spark_partition_id().alias("task")).collect()
+        assert sorted(r.line for r in found) == sorted(BODY.decode().splitlines())
+        assert (len({r.task for r in found}) > 5) == several
+
+
 def test_no_match_and_empty_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         ndjson.read_ndjson(spark, str(tmp_path), "*.json", COMMENTS)
