@@ -5,14 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from threadloom.functions.batches import Batches, pieces
 from threadloom.sources.clients import MISSING, TextClient, answer
 from threadloom.tables import delete, exists, stored
 
@@ -81,18 +81,18 @@ def answered(rows: DataFrame, client: TextClient, path: str, model: str = "model
     asked = keyed.where("answer_key is not null").groupBy("answer_key").agg(F.first(model).alias("model"), F.first(text).alias("text"))
     asked = stored(asked.join(known, "answer_key", "left_anti"), "answers-asked")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Batches) -> Batches:
         with ThreadPoolExecutor(threads) as pool:
-            for frame in frames:
-                for at in range(0, len(frame), NOTED):
-                    part = frame.iloc[at : at + NOTED]
-                    keys, held = part["answer_key"].tolist(), _noted(notes, part["answer_key"].tolist())
-                    one = lambda r: (held[r[0]], None) if r[0] in held else answer(client, r[1], r[2])  # noqa: B023, E731
-                    got = list(pool.map(one, zip(keys, part["model"], part["text"], strict=True)))
-                    _note(notes, keys, got)
-                    yield pd.DataFrame({"answer_key": keys, "raw": [g[0] for g in got], "error": [g[1] for g in got]})
-
-    fresh = stored(asked.mapInPandas(run, "answer_key string, raw string, error string"), "answers-fresh")
+            for part in pieces(batches, NOTED):
+                keys, models, texts = (part[c].to_pylist() for c in ("answer_key", "model", "text"))
+                held = _noted(notes, keys)
+                one = lambda r: (held[r[0]], None) if r[0] in held else answer(client, r[1], r[2])  # noqa: B023, E731
+                got = list(pool.map(one, zip(keys, models, texts, strict=True)))
+                _note(notes, keys, got)
+                found = [keys, [g[0] for g in got], [g[1] for g in got]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in found], ["answer_key", "raw", "error"])
+
+    fresh = stored(asked.mapInArrow(run, "answer_key string, raw string, error string"), "answers-fresh")
     new = fresh.where("raw is not null").select("answer_key", "raw")
     if exists(spark, notes):
         new = new.union(spark.read.schema(SCHEMA).json(notes)).dropDuplicates(["answer_key"])

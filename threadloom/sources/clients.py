@@ -12,9 +12,12 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.batches import Batches, Step, pieces
+
 #: Error texts of results.
 FAILED = "ERROR: Model execution failed - "
 MISSING = "ERROR: Missing required inputs"
@@ -64,7 +67,7 @@ def completed(
 ) -> DataFrame:
     """rows with raw (the answer) and error; exactly one of the two is null. Null texts are not asked.
 
-    Calls run in a bounded thread pool in each task. With a folder `answers`, each different prompt is asked once, over
+    Calls run in a bounded thread pool in each task, over pieces of its batches. With a folder `answers`, each different prompt is asked once, over
     all runs that share the folder, and retried tasks read what they had (sources/answers.py); without one, every row is
     asked and retried tasks ask again, so clients should be idempotent.
     """
@@ -73,17 +76,24 @@ def completed(
 
         return answered(rows, client, answers, model, text, threads)
     schema = rows.drop("raw", "error").schema.add("raw", "string").add("error", "string")
+    return rows.drop("raw", "error").mapInArrow(asking(client, model, text, threads), schema)
+
+
+def asking(client: TextClient, model: str = "model", text: str = "prompt_text", threads: int = 16) -> Step:
+    """The step that adds raw and error, as completed(), to record batches; a piece of one is asked at a time."""
 
     def ask(pair: tuple[str, str]) -> tuple[str | None, str | None]:
         return answer(client, *pair)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Batches) -> Batches:
         with ThreadPoolExecutor(threads) as pool:
-            for frame in frames:
-                got = list(pool.map(ask, zip(frame[model], frame[text], strict=True)))
-                yield frame.assign(raw=[g[0] for g in got], error=[g[1] for g in got])
+            for piece in pieces(batches):
+                got = list(pool.map(ask, zip(piece[model].to_pylist(), piece[text].to_pylist(), strict=True)))
+                for at, name in enumerate(("raw", "error")):
+                    piece = piece.append_column(name, pa.array([g[at] for g in got], pa.string()))
+                yield piece
 
-    return rows.drop("raw", "error").mapInPandas(run, schema)
+    return run
 
 
 def embedded(embed: Callable[[str], list[float]], text: Column, dims: int = 3072, threads: int = 16) -> Column:
